@@ -6,7 +6,7 @@ from importlib import import_module
 
 from panelworks.workload.registry import REGISTRY, Query
 
-MODULES = ["relational", "features"]
+MODULES = ["relational", "features", "tables"]
 
 
 def load() -> dict[str, Query]:
