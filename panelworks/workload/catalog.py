@@ -6,7 +6,7 @@ from importlib import import_module
 
 from panelworks.workload.registry import REGISTRY, Query
 
-MODULES = ["relational", "features", "tables"]
+MODULES = ["relational", "features", "tables", "text"]
 
 
 def load() -> dict[str, Query]:
