@@ -6,7 +6,7 @@ from importlib import import_module
 
 from panelworks.workload.registry import REGISTRY, Query
 
-MODULES = ["relational", "features", "tables", "text", "vectors", "graphs", "learning"]
+MODULES = ["relational", "features", "tables", "text", "vectors", "graphs", "learning", "modelling", "snapshots"]
 
 
 def load() -> dict[str, Query]:
