@@ -17,11 +17,11 @@ from panelworks.workload.features import FUNCTIONS, LEVELS
 from panelworks.workload.registry import query
 from panelworks.workload.views import table
 
-FIRST, LAST = "1999-01-01", "2001-08-01"
+FIRST, LAST = "2001-01-01", "2001-08-01"
 
 _MONTH_SQL = r"""
-  with m as (select cast(unnest(generate_series(date '1999-01-01', date '2001-08-01', interval 1 month)) as date) as snap_date),
-  lt as (select * from (select m.snap_date, p.entity_id, p.unit, p.level, p.balance,
+  with m as (select cast(unnest(generate_series(date '2001-01-01', date '2001-08-01', interval 1 month)) as date) as snap_date),
+  lt as (select * from (select m.snap_date, p.entity_id, p.unit, p.level,
       row_number() over (partition by m.snap_date, p.entity_id order by p.snap_date desc, p.row_key desc) as rn
     from m join panel p on p.snap_date <= m.snap_date) x where rn = 1),
   hs as (select m.snap_date, o.o_custkey as entity_id, concat('p', cast(l.l_partkey as varchar)) as term, count(*) as tf
@@ -36,30 +36,23 @@ _MONTH_SQL = r"""
   rw as (select ct.snap_date, ct.entity_id, ct.term, tf * (ln((1 + n) / (1 + df)) + 1) as w from ct
     join vc on vc.snap_date = ct.snap_date and vc.term = ct.term join nd on nd.snap_date = ct.snap_date),
   nr as (select snap_date, entity_id, sqrt(sum(w * w)) as l from rw group by all),
-  tw as (select rw.snap_date, rw.entity_id, rw.term, w / l as w from rw join nr
-    on nr.snap_date = rw.snap_date and nr.entity_id = rw.entity_id),
-  mm as (select snap_date, min(balance) as lo, max(balance) as hi from lt group by snap_date),
-  mx as (select * from tw union all
-    select lt.snap_date, lt.entity_id, '#balance', (balance - lo) / (hi - lo) from lt
-    join mm on mm.snap_date = lt.snap_date where balance > lo),
-  n2 as (select snap_date, entity_id, sqrt(sum(w * w)) as l from mx group by all),
-  vec as (select mx.snap_date, mx.entity_id, mx.term, w / l as w from mx join n2
-    on n2.snap_date = mx.snap_date and n2.entity_id = mx.entity_id)
+  vec as (select rw.snap_date, rw.entity_id, rw.term, w / l as w from rw join nr
+    on nr.snap_date = rw.snap_date and nr.entity_id = rw.entity_id)
   select a.snap_date, a.entity_id as src, b.entity_id as dst, round(sum(a.w * b.w), 6) as sim
   from vec a join vec b on a.snap_date = b.snap_date and a.term = b.term and a.entity_id < b.entity_id
-  group by a.snap_date, a.entity_id, b.entity_id having sum(a.w * b.w) > 0.7"""
+  group by a.snap_date, a.entity_id, b.entity_id having sum(a.w * b.w) > 0.2"""
 
 
 @query("similarity_by_month", _MONTH_SQL, "panel", "snap_date")
 def similarity_by_month(spark, sf):
     p = V.panel(spark, sf).withColumn("words", S.bag_of_words(["unit", "level"]))
-    latest = SN.latest_by_month(p, "entity_id", "snap_date", "row_key", ["words", "balance"], FIRST, LAST)
+    latest = SN.latest_by_month(p, "entity_id", "snap_date", "row_key", ["words"], FIRST, LAST)
     o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
     bought = o.join(li, o["o_orderkey"] == li["l_orderkey"]).select(
         F.col("o_custkey").alias("entity_id"), F.col("o_orderdate").cast("date").alias("day"),
         F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("term"))
     history = SN.history_by_month(bought, "entity_id", "day", "term", FIRST, LAST)
-    pairs = SN.similarity_by_month(latest, history, "entity_id", "words", ["balance"], 0.7)
+    pairs = SN.similarity_by_month(latest, history, "entity_id", "words", [], 0.2)
     return pairs.withColumn("sim", F.round("sim", 6))
 
 
