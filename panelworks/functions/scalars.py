@@ -121,7 +121,12 @@ def bag_of_words(cols: Sequence[ColumnOrName]) -> Column:
 
 def tokens(c: ColumnOrName) -> Column:
     """Lower-cased runs of two or more word characters, any script."""
-    return F.regexp_extract_all(F.lower(col(c)), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
+    runs = F.split(F.lower(col(c)), r"[^\p{L}\p{N}_]+")
+    return F.filter(runs, lambda t: F.char_length(t) >= 2)
+
+
+def has_token(c: ColumnOrName) -> Column:
+    return col(c).rlike(r"[\p{L}\p{N}_]{2}")
 
 
 # --- dates ------------------------------------------------------------------------------

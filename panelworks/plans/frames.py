@@ -21,6 +21,7 @@ from panelworks.operators import aggregate as A
 from panelworks.operators import history as H
 from panelworks.operators import joins as J
 from panelworks.operators import quality as Q
+from panelworks.session import materialize
 
 # The exit reasons the workload leaves out, and the shape of a reason text.
 EXCLUDED_REASONS = ["Retirement", "Severance Reasons", "Death in Service", "Did Not Start"]
@@ -50,9 +51,14 @@ class PanelSpec:
 
 
 def clean_panel(panel: DataFrame, spec: PanelSpec, snap_date=None) -> DataFrame:
-    """Rows up to the snapshot date, full duplicates and conflicting ids removed."""
+    """Rows up to the snapshot date, full duplicates and conflicting ids removed; written once.
+
+    The key is not pre-partitioned: distinct spreads a hot entity by its whole rows, and every later
+    step on the key aggregates before its shuffle.
+    """
     hist = panel.filter(asof(spec.date, snap_date)).distinct()
-    return Q.drop_ids(hist, A.conflicting_ids(hist, spec.key, spec.date, spec.status), spec.key)
+    bad = A.conflicting_ids(hist, spec.key, spec.date, spec.status)
+    return materialize(Q.drop_ids(hist, bad, spec.key), "panel")
 
 
 def history_features(hist: DataFrame, spec: PanelSpec) -> DataFrame:
@@ -96,7 +102,7 @@ def entity_frame(
     latest = A.latest_per_key(
         hist.select(spec.key, *spec.order, *spec.keep), [spec.key], spec.newest_first)
     frame = latest.join(history_features(hist, spec), spec.key, "left")
-    frame = with_exits(frame, exits, spec.key, reason, exit_date)
+    frame = materialize(with_exits(frame, exits, spec.key, reason, exit_date), "entities")
     frame = Q.drop_stale_actives(frame, spec.key, spec.date, "churn", grace_days)
     frame = Q.drop_inconsistent_exits(frame, spec.key, spec.date, exit_date, max_exit_days)
     frame = J.span_of_control(frame, spec.key, spec.manager)
@@ -106,32 +112,35 @@ def entity_frame(
 
 
 def checkpoint_rows(
-    panel: DataFrame, exits: DataFrame, spec: PanelSpec, ranges: Sequence[tuple], default: Column,
+    hist: DataFrame, exits: DataFrame, spec: PanelSpec, ranges: Sequence[tuple], default: Column,
     tolerance: int = 31, exit_date: str = "term_date", reason: str = "reason",
 ) -> DataFrame:
-    """Panel rows nearest to each entity's checkpoint; involuntary exits are left out."""
-    hist = clean_panel(panel, spec)
+    """Clean panel rows nearest to each entity's checkpoint; involuntary exits are left out."""
     rows = with_exits(hist, exits, spec.key, reason, exit_date)
     rows = rows.filter(ne_keep_null("term_reason", "Involuntary"))
     rows = rows.withColumn("checkpoint", range_case(exit_date, ranges, default))
     return H.nearest_snapshot(rows, spec.key, spec.date, "checkpoint", tolerance)
 
 
-def history_at(panel: DataFrame, rows: DataFrame, spec: PanelSpec) -> DataFrame:
+def history_at(hist: DataFrame, rows: DataFrame, spec: PanelSpec) -> DataFrame:
     """Clean panel rows of each entity up to its latest kept row."""
     cut = rows.groupBy(spec.key).agg(F.max(spec.date).alias("_cutoff"))
-    hist = H.history_until(clean_panel(panel, spec), cut, spec.key, spec.date, "_cutoff")
-    return hist.drop("_cutoff")
+    return H.history_until(hist, cut, spec.key, spec.date, "_cutoff").drop("_cutoff")
 
 
 def checkpoint_frame(
     panel: DataFrame, exits: DataFrame, spec: PanelSpec, ranges: Sequence[tuple], default: Column,
     tolerance: int = 31, exit_date: str = "term_date", reason: str = "reason",
-    lookups: Sequence[DataFrame] = (),
+    lookups: Sequence[DataFrame] = (), hist: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per entity at its checkpoint, with history up to it and days until exit."""
-    rows = checkpoint_rows(panel, exits, spec, ranges, default, tolerance, exit_date, reason)
-    feats = history_features(history_at(panel, rows, spec), spec)
+    """One row per entity at its checkpoint, with history up to it and days until exit.
+
+    ``hist`` is the clean panel where the caller has it already.
+    """
+    hist = clean_panel(panel, spec) if hist is None else hist
+    rows = materialize(
+        checkpoint_rows(hist, exits, spec, ranges, default, tolerance, exit_date, reason), "checkpoints")
+    feats = history_features(history_at(hist, rows, spec), spec)
     frame = rows.select(
         spec.key, *spec.order, *spec.keep, exit_date, "term_reason", "churn", "checkpoint")
     frame = J.span_of_control(frame.join(feats, spec.key, "left"), spec.key, spec.manager)

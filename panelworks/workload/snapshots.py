@@ -136,9 +136,9 @@ _ML_SQL = TB.CHECKPOINT_SQL + f""",
 
 @query("ml_frame", _ML_SQL, "panel exits checkpoints scores")
 def ml_frame(spark, sf):
-    f = materialize(TB.checkpoint_table(spark, sf), "checkpoint")
-    hist = frames.history_at(V.panel(spark, sf), f, TB.spec())
-    hot = H.multi_hot(hist, "entity_id", {"level": LEVELS, "function": FUNCTIONS})
+    clean = frames.clean_panel(V.panel(spark, sf), TB.spec())
+    f = materialize(TB.checkpoint_table(spark, sf, clean), "checkpoint")
+    hot = H.multi_hot(frames.history_at(clean, f, TB.spec()), "entity_id", {"level": LEVELS, "function": FUNCTIONS})
     f = SEL.prune_columns(f, ["snap_date", "manager_id", "level", "function"], ["term_date", "term_reason", "checkpoint"])
     f = FE.impute_two_level(f.join(hot, "entity_id"), "recent_score", "unit", "median")
     return FE.one_hot(f.fillna({"n_reports": 0}), {"unit": UNITS}).withColumn("recent_score", F.round("recent_score", 6))

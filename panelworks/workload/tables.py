@@ -332,11 +332,11 @@ CHECKPOINT_SQL = f"""
     from cw where rn = 1)"""
 
 
-def checkpoint_table(spark, sf):
+def checkpoint_table(spark, sf, hist=None):
     default = F.lit(V.DEFAULT_CHECKPOINT).cast("date")
     sc = _scores(spark, sf).select("entity_id", "combined_2000", "combined_2001")
     f = frames.checkpoint_frame(
-        V.panel(spark, sf), V.exits(spark, sf), spec(), V.checkpoint_ranges(), default, lookups=[sc])
+        V.panel(spark, sf), V.exits(spark, sf), spec(), V.checkpoint_ranges(), default, lookups=[sc], hist=hist)
     return f.withColumn("recent_score", lookups.by_exit_year("term_date", YEARS, "combined")).drop(
         "combined_2000", "combined_2001", "row_key")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelworks.functions.scalars import has_token
 from panelworks.operators import similarity as SIM
 from panelworks.operators import text as TX
 from panelworks.workload.registry import query
@@ -62,7 +63,7 @@ def vocabulary(spark, sf):
   union all select rep, id, 1.0 :: double from rep where id <> rep""")
 def cosine_sparse_pairs(spark, sf):
     text = document_vectors(spark, sf)
-    n = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("n_chars"))
-    n = n.join(text.select("id").distinct(), "id", "left_semi")
+    n = table(spark, sf, "documents").filter(has_token("text")).select(
+        F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("n_chars"))
     vec = TX.append_numbers(text, n, "id", ["n_chars"])
     return SIM.sparse_pairs(vec, "id", 0.8).withColumn("sim", F.round("sim", 6))
