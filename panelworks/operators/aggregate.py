@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelworks.functions.scalars import value_segment
-from panelworks.operators.position import running_within_segments
 
 
 def conflicting_ids(df: DataFrame, key: str, period: str, checked: str) -> DataFrame:
@@ -74,39 +73,42 @@ def exact_quantiles(
     by = list(by)
     counts = (
         df.filter(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).cast("double").alias("_v"))
+        .withColumn("_all", F.lit(1))  # the group key where there is no other
+        .groupBy("_all", *by, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_seg", value_segment("_v"))
     )
-    placed = running_within_segments(counts, "_v", by, ["_n"])
-    totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
-    wanted = totals.select(
-        *by,
-        "_total",
-        F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"),
-    ).withColumn("_at", F.col("prob") * (F.col("_total") - 1))
-    wanted = wanted.select(
-        *[F.col(b).alias(f"_b_{b}") for b in by],
-        "prob",
-        "_at",
-        F.floor("_at").alias("_lo"),
-        F.ceil("_at").alias("_hi"),
+    group = ["_all", *by]
+    up = Window.partitionBy(*group).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    segments = counts.groupBy(*group, "_seg").agg(F.sum("_n").alias("_in"))
+    segments = segments.withColumn("_before", F.coalesce(F.sum("_in").over(up), F.lit(0)))
+    at = F.col("prob") * (F.col("_total") - 1)
+    wanted = (
+        segments.groupBy(*group).agg(F.sum("_in").alias("_total"))
+        .withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+        .select(*group, "prob", at.alias("_at"), F.floor(at).alias("_lo"), F.ceil(at).alias("_hi"))
     )
-    hit = [F.col(b).eqNullSafe(F.col(f"_b_{b}")) for b in by]
-    first, last = F.col("_n_before"), F.col("_n_before") + F.col("_n") - 1
-    hit += [
-        ((F.col("_lo") >= first) & (F.col("_lo") <= last))
-        | ((F.col("_hi") >= first) & (F.col("_hi") <= last))
-    ]
-    found = placed.join(F.broadcast(wanted) if not by else wanted, hit)
-    return found.groupBy(*by, "prob").agg(
-        (
-            F.min("_v") + (F.max("_v") - F.min("_v")) * (F.max("_at") - F.max("_lo"))
-        ).alias(name)
+
+    def holds(first, n):
+        last = first + n - 1
+        return (F.col("_lo").between(first, last)) | (F.col("_hi").between(first, last))
+
+    hit = segments.join(wanted, group).filter(holds(F.col("_before"), F.col("_in")))
+    here = Window.partitionBy(*group, "_seg", "prob").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    found = (
+        counts.join(hit, [*group, "_seg"])
+        .withColumn("_first", F.col("_before") + F.coalesce(F.sum("_n").over(here), F.lit(0)))
+        .filter(holds(F.col("_first"), F.col("_n")))
     )
+    step = F.max("_at") - F.max("_lo")
+    return found.groupBy(*group, "prob").agg(
+        (F.min("_v") + (F.max("_v") - F.min("_v")) * step).alias(name)
+    ).drop("_all")
 
 
-def exact_medians(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "median") -> DataFrame:
+def exact_medians(
+    df: DataFrame, value: str, by: Sequence[str] = (), name: str = "median"
+) -> DataFrame:
     return exact_quantiles(df, value, [0.5], by, name).drop("prob")
 
 

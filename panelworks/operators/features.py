@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelworks.functions.scalars import col
 from panelworks.operators.aggregate import exact_medians, global_value, modes
-from panelworks.operators.position import with_position
+from panelworks.operators.position import range_segments, with_position
 from panelworks.operators.select import text_columns
 
 MAX_ONE_HOT = 1000
@@ -39,7 +39,8 @@ def label_encode(df: DataFrame, column: str, out: str) -> DataFrame:
     millions of values never passes through the driver.
     """
     values = df.select(F.col(column).alias("_v")).filter(F.col("_v").isNotNull()).distinct()
-    codes = with_position(values, ["_v"], F.substring(F.col("_v").cast("string"), 1, 3), name="_code")
+    dealt = range_segments(values, "_v")
+    codes = with_position(dealt, ["_v"], F.col("_range"), name="_code").drop("_range")
     return (
         df.join(codes, df[column] == F.col("_v"), "left")
         .withColumn(out, (F.col("_code") - 1).cast("int"))

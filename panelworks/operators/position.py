@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelworks.functions.scalars import hash_order
+from panelworks.session import materialize
 
 
 def _running_offsets(counts: DataFrame, by: Sequence[str], n: str) -> DataFrame:
@@ -45,6 +46,16 @@ def with_position(
     )
 
 
+def range_segments(keys: DataFrame, order: str, name: str = "_range") -> DataFrame:
+    """Distinct sort keys of any type with a balanced, rising segment number.
+
+    Spark samples the ranges; writing the result freezes them for every later reader.
+    """
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keys.repartitionByRange(n, order).withColumn(name, F.spark_partition_id())
+    return materialize(dealt, "ranges")
+
+
 def with_hash_rank(
     df: DataFrame, key: str, seed: int, by: Sequence[str] = (), name: str = "rank"
 ) -> DataFrame:
