@@ -73,37 +73,33 @@ def exact_quantiles(
     by = list(by)
     counts = (
         df.filter(F.col(value).isNotNull())
-        .withColumn("_all", F.lit(1))  # the group key where there is no other
-        .groupBy("_all", *by, F.col(value).cast("double").alias("_v"))
+        .groupBy(*by, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_seg", value_segment("_v"))
     )
-    group = ["_all", *by]
-    up = Window.partitionBy(*group).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
-    segments = counts.groupBy(*group, "_seg").agg(F.sum("_n").alias("_in"))
-    segments = segments.withColumn("_before", F.coalesce(F.sum("_in").over(up), F.lit(0)))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # rows are segments
+    up = group.orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     at = F.col("prob") * (F.col("_total") - 1)
-    wanted = (
-        segments.groupBy(*group).agg(F.sum("_in").alias("_total"))
-        .withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-        .select(*group, "prob", at.alias("_at"), F.floor(at).alias("_lo"), F.ceil(at).alias("_hi"))
-    )
 
     def holds(first, n):
         last = first + n - 1
         return (F.col("_lo").between(first, last)) | (F.col("_hi").between(first, last))
 
-    hit = segments.join(wanted, group).filter(holds(F.col("_before"), F.col("_in")))
-    here = Window.partitionBy(*group, "_seg", "prob").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    hit = (
+        counts.groupBy(*by, "_seg").agg(F.sum("_n").alias("_in"))
+        .withColumns({"_before": F.coalesce(F.sum("_in").over(up), F.lit(0)), "_total": F.sum("_in").over(group)})
+        .withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+        .withColumns({"_at": at, "_lo": F.floor(at), "_hi": F.ceil(at)})
+        .filter(holds(F.col("_before"), F.col("_in")))
+    )
+    here = Window.partitionBy(*by, "_seg", "prob").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     found = (
-        counts.join(hit, [*group, "_seg"])
+        counts.join(hit, [*by, "_seg"])
         .withColumn("_first", F.col("_before") + F.coalesce(F.sum("_n").over(here), F.lit(0)))
         .filter(holds(F.col("_first"), F.col("_n")))
     )
     step = F.max("_at") - F.max("_lo")
-    return found.groupBy(*group, "prob").agg(
-        (F.min("_v") + (F.max("_v") - F.min("_v")) * step).alias(name)
-    ).drop("_all")
+    return found.groupBy(*by, "prob").agg((F.min("_v") + (F.max("_v") - F.min("_v")) * step).alias(name))
 
 
 def exact_medians(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelworks.operators.nearest import nearest_neighbours
 from panelworks.operators.position import with_hash_rank
+from panelworks.session import materialize
 
 
 def _with_class_size(df: DataFrame, label: str) -> DataFrame:
@@ -101,7 +102,7 @@ def adasyn_rows(
     """
     small = df.filter(F.col(label) == minority)
     plan = adasyn_allocation(df, key, v, label, minority, ratio, k).filter("g > 0")
-    near = nearest_neighbours(small, key, v, k, "euclidean")
+    near = materialize(nearest_neighbours(small, key, v, k, "euclidean"), "mates")
     mates = near.groupBy(F.col("src").alias("_p")).agg(F.count(F.lit(1)).alias("_m"))
     h = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("j").cast("string"), F.lit(seed)).cast("binary"))
     hexnum = lambda a, n: F.conv(F.substring(h, a, n), 16, 10).cast("long")

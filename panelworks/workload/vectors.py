@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelworks.operators import joins as J
 from panelworks.operators import nearest as N
 from panelworks.plans import recommend as REC
-from panelworks.session import fresh_path
+from panelworks.session import fresh_path, materialize
 from panelworks.sources import files
 from panelworks.workload import views as V
 from panelworks.workload.registry import query
@@ -62,7 +62,8 @@ def entity_profile(spark, sf):
 
 
 def vector_edges(spark, sf):
-    return N.dense_pairs(V.vectors(spark, sf), "id", "v", 0.3).select("src", "dst")
+    """Edge list of the similarity graph, stored because graph operators read it more than once."""
+    return materialize(N.dense_pairs(V.vectors(spark, sf), "id", "v", 0.3).select("src", "dst"), "edges")
 
 
 EDGES_SQL = f"{_SIM_SQL.strip()}, edges as (select src, dst from sim where src < dst and sim > 0.3)"
