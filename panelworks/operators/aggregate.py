@@ -40,12 +40,23 @@ def lookup_aggregate(df: DataFrame, key: str, agg: Column, name: str) -> DataFra
     return df.join(stats, key, "left")
 
 
-def mean_by(df: DataFrame, keys: Sequence[str], columns: dict[str, str]) -> DataFrame:
-    """Means of known values per key, ``{output: input}``; null keys are left out."""
+def mean_by(
+    df: DataFrame, keys: Sequence[str], columns: dict[str, str], digits: int | None = None
+) -> DataFrame:
+    """Means of known values per key, ``{output: input}``; null keys are left out.
+
+    With ``digits`` the sums are decimals of that scale, so a mean never hangs on the order of rows.
+    """
+
+    def mean(c: str) -> Column:
+        if digits is None:
+            return F.avg(c)
+        return F.try_divide(F.sum(F.col(c).cast(f"decimal(28,{digits})")).cast("double"), F.count(c))
+
     known = df
     for k in keys:
         known = known.filter(F.col(k).isNotNull())
-    return known.groupBy(*keys).agg(*[F.avg(c).alias(out) for out, c in columns.items()])
+    return known.groupBy(*keys).agg(*[mean(c).alias(out) for out, c in columns.items()])
 
 
 def modes(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "mode") -> DataFrame:

@@ -249,13 +249,13 @@ def span_of_control(spark, sf):
 
 
 _MONTHLY_SQL = """
-  select cast(year(day) as int) as yr, cast(month(day) as int) as mon, round(avg(v), 4) as v_mean
+  select cast(year(day) as int) as yr, cast(month(day) as int) as mon, cast(sum(cast(v as decimal(28,2))) as double) / count(v) as v_mean
   from series group by year(day), month(day)"""
 
 
 def _monthly(spark, sf):
     s = V.series(spark, sf).withColumns({"yr": F.year("day"), "mon": F.month("day")})
-    return A.mean_by(s, ["yr", "mon"], {"v_mean": "v"}).withColumn("v_mean", F.round("v_mean", 4))
+    return A.mean_by(s, ["yr", "mon"], {"v_mean": "v"}, digits=2)
 
 
 @query("calendar_join", f"""

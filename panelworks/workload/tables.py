@@ -33,20 +33,20 @@ YEARS = (2000, 2001)
       lag(cast(replace(px, '$', '') as double), 30) over w as px,
       lag(cast(replace(px, '$', '') as double), 365) over w as pxs
     from series window w as (order by day))
-  select cast(yr as int) as yr, cast(mon as int) as mon, round(avg(v), 4) as v, round(avg(vs), 4) as v_shifted,
-    round(avg(px), 4) as px, round(avg(pxs), 4) as px_shifted from m group by yr, mon""", "series")
+  select cast(yr as int) as yr, cast(mon as int) as mon, cast(sum(cast(v as decimal(28,2))) as double) / count(v) as v,
+    cast(sum(cast(vs as decimal(28,2))) as double) / count(vs) as v_shifted,
+    cast(sum(cast(px as decimal(28,2))) as double) / count(px) as px,
+    cast(sum(cast(pxs as decimal(28,2))) as double) / count(pxs) as px_shifted from m group by yr, mon""", "series")
 def ticker_monthly(spark, sf):
-    t = PS.ticker_monthly(V.series(spark, sf), "day", ["v"], ["px"], 365)
-    return t.withColumns({c: F.round(c, 4) for c in ("v", "v_shifted", "px", "px_shifted")})
+    return PS.ticker_monthly(V.series(spark, sf), "day", ["v"], ["px"], 365, digits=2)
 
 
 @query("macro_monthly", """
   with m as (select year(day) as yr, month(day) as mon, lag(v, 100) over (order by day) as v from series)
-  select cast(yr as int) as yr, cast(mon as int) as mon, round(avg(v), 4) as v_shifted from m group by yr, mon""",
+  select cast(yr as int) as yr, cast(mon as int) as mon, cast(sum(cast(v as decimal(28,2))) as double) / count(v) as v_shifted from m group by yr, mon""",
        "series")
 def macro_monthly(spark, sf):
-    m = PS.macro_monthly(V.series(spark, sf), "day", ["v"], 100)
-    return m.withColumn("v_shifted", F.round("v_shifted", 4))
+    return PS.macro_monthly(V.series(spark, sf), "day", ["v"], 100, digits=2)
 
 
 # --- lookups ----------------------------------------------------------------------------
@@ -254,7 +254,7 @@ ENTITY_SQL = f"""
   sp as (select manager_id, count(entity_id) as n_reports from fk group by manager_id),
   {_SCORES_SQL.strip()},
   {_RATINGS_SQL.strip()},
-  cal as (select year(day) as yr, month(day) as mon, avg(v) as cal_v from series group by year(day), month(day)),
+  cal as (select year(day) as yr, month(day) as mon, cast(sum(cast(v as decimal(28,2))) as double) / count(v) as cal_v from series group by year(day), month(day)),
   wide as (select fk.*, cnt.n_level, cnt.n_function, cnt.n_band, cnt.n_unit, cnt.n_manager, mv.downward_levels,
       mv.upward_levels, sp.n_reports,
       case when year(fk.term_date) = 2000 then sc.combined_2000 else sc.combined_2001 end as recent_score,
@@ -270,7 +270,7 @@ ENTITY_SQL = f"""
       and cal.mon = month(greatest(fk.snap_date, date '1996-01-01'))),
   entity as (select entity_id, snap_date, level, function, band, unit, manager_id, term_date, term_reason, churn,
     n_level, n_function, n_band, n_unit, n_manager, downward_levels, upward_levels, n_reports,
-    round(recent_score, 6) as recent_score, recent_rating, distance, n_name, round(cal_v, 4) as cal_v
+    round(recent_score, 6) as recent_score, recent_rating, distance, n_name, cal_v
     from wide where pick = 1)"""
 ENTITY_VIEWS = "panel exits scores ratings_main ratings_wide distances series"
 
@@ -288,15 +288,14 @@ def entity_table(spark, sf, snap_date="2001-06-30"):
         V.panel(spark, sf), V.exits(spark, sf), spec(), snap_date, grace_days=365, lookups=found)
     frame = J.left_join_renamed(
         frame, table(spark, sf, "nation").select("n_nationkey", "n_name"), "manager_id", "n_nationkey")
-    cal = PS.macro_monthly(V.series(spark, sf), "day", ["v"]).withColumnRenamed("v_shifted", "cal_v")
+    cal = PS.macro_monthly(V.series(spark, sf), "day", ["v"], digits=2).withColumnRenamed("v_shifted", "cal_v")
     frame = frames.with_calendar(frame, cal, "snap_date", dt.date(1996, 1, 1))
     frame = frame.withColumns({
         "recent_score": lookups.by_exit_year("term_date", YEARS, "combined"),
         "recent_rating": lookups.by_exit_year("term_date", YEARS, "rating")})
     one = A.latest_per_key(frame, ["entity_id"], [
         F.desc_nulls_first("rating_2001"), F.desc_nulls_first("rating_2000"), F.desc_nulls_first("distance")])
-    rounded = {"recent_score": F.round("recent_score", 6), "cal_v": F.round("cal_v", 4)}
-    return one.withColumns(rounded).select(*ENTITY_COLUMNS)
+    return one.withColumn("recent_score", F.round("recent_score", 6)).select(*ENTITY_COLUMNS)
 
 
 @query("entity_frame", ENTITY_SQL + " select * from entity", ENTITY_VIEWS, "snap_date term_date")
