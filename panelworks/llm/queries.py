@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelworks.llm import bpe, order_minhash, seekable, token_counts
+from panelworks.llm import bpe, order_minhash, parity_join, seekable, token_counts
 from panelworks.session import fresh_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -18,6 +18,10 @@ def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def op2_parity_join(spark: SparkSession, sf: str) -> DataFrame:
+    return parity_join.jaccard_components(_read(spark, sf, "documents"))
+
+
 def op3_seekable_frames(spark: SparkSession, sf: str) -> DataFrame:
     folder = fresh_path(spark, "tokens")
     seekable.write_token_files(_read(spark, sf, "documents"), folder, BYTE_BPE)
@@ -38,5 +42,5 @@ def op10_order_minhash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_seekable_frames, op5_speculative_bpe, op9_token_counts, op10_order_minhash)}
+    f.__name__: f for f in (op2_parity_join, op3_seekable_frames, op5_speculative_bpe, op9_token_counts, op10_order_minhash)}
 ORACLE_SQL: dict[str, str] = {}
