@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelworks.llm import bpe, order_minhash, parity_join, seekable, token_counts
+from panelworks.llm import bpe, line_dedup, oracles, order_minhash, parity_join, seekable, token_counts
 from panelworks.session import fresh_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,6 +28,11 @@ def op3_seekable_frames(spark: SparkSession, sf: str) -> DataFrame:
     return seekable.token_starts(spark, folder)
 
 
+def op4_repeated_line_runs(spark: SparkSession, sf: str) -> DataFrame:
+    cleaned = line_dedup.delete_repeated_runs(_read(spark, sf, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_deleted", "text")
+
+
 def op5_speculative_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_decode(_read(spark, sf, "documents"), WORD_BPE)
 
@@ -42,5 +47,8 @@ def op10_order_minhash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_parity_join, op3_seekable_frames, op5_speculative_bpe, op9_token_counts, op10_order_minhash)}
-ORACLE_SQL: dict[str, str] = {}
+    f.__name__: f for f in (op2_parity_join, op3_seekable_frames, op4_repeated_line_runs, op5_speculative_bpe, op9_token_counts, op10_order_minhash)}
+ORACLE_SQL: dict[str, str] = {
+    "op2_parity_join": oracles.PARITY_JOIN,
+    "op4_repeated_line_runs": oracles.LINE_DEDUP,
+}
