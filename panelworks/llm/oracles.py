@@ -13,6 +13,16 @@ sh AS (
       ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END)) AS s
   FROM w)"""
 
+CONTAINMENT = f"""
+WITH {WORDS}, {SHINGLES},
+iw AS ({WORDS.split("AS (", 1)[1].rsplit(")", 1)[0].replace("doc_id", "item_id").replace("documents", "benchmark")}),
+ish AS ({SHINGLES.split("AS (", 1)[1].rsplit(")", 1)[0].replace("doc_id", "item_id").replace("FROM w", "FROM iw")}),
+n AS (SELECT item_id, count(*) AS n_item FROM ish GROUP BY item_id),
+c AS (SELECT doc_id, item_id, count(*) AS n_shared FROM sh JOIN ish USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment
+FROM c JOIN n USING (item_id) WHERE 100 * n_shared >= 75 * n_item
+"""
+
 PARITY_JOIN = f"""
 WITH RECURSIVE {WORDS}, {SHINGLES},
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),

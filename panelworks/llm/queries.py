@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelworks.llm import bpe, line_dedup, oracles, order_minhash, parity_join, seekable, token_counts
+from panelworks.llm import bpe, decontaminate, line_dedup, oracles, order_minhash, parity_join, seekable, token_counts, url_rules
 from panelworks.session import fresh_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -37,6 +38,24 @@ def op5_speculative_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_decode(_read(spark, sf, "documents"), WORD_BPE)
 
 
+#: Stated host and path rules.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"),
+             ("com/de/", "block")]
+
+
+def op6_url_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """A page shows the document numbered in its path; a toxic or poor document marks its url."""
+    pages, labels = _read(spark, sf, "pages"), _read(spark, sf, "labels")
+    bad = labels.groupBy("doc_id").agg(F.max((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("blocked"))
+    number = F.regexp_extract(url_rules.url_path("url"), r"(\d+)[^/]*/?$", 1)
+    shown = pages.select("url", number.try_cast("bigint").alias("doc_id")).join(bad, "doc_id")
+    return url_rules.judge_urls(pages, shown.select("url", "blocked"), URL_RULES)
+
+
+def op7_containment_search(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.find_items(_read(spark, sf, "documents"), _read(spark, sf, "benchmark"))
+
+
 def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     lengths = token_counts.encoded_lengths(_read(spark, sf, "documents"), BYTE_BPE)
     return token_counts.length_histogram(lengths)
@@ -47,8 +66,9 @@ def op10_order_minhash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_parity_join, op3_seekable_frames, op4_repeated_line_runs, op5_speculative_bpe, op9_token_counts, op10_order_minhash)}
+    f.__name__: f for f in (op2_parity_join, op3_seekable_frames, op4_repeated_line_runs, op5_speculative_bpe, op6_url_rules, op7_containment_search, op9_token_counts, op10_order_minhash)}
 ORACLE_SQL: dict[str, str] = {
     "op2_parity_join": oracles.PARITY_JOIN,
     "op4_repeated_line_runs": oracles.LINE_DEDUP,
+    "op7_containment_search": oracles.CONTAINMENT,
 }
