@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelworks.llm import bpe, decontaminate, line_dedup, oracles, order_minhash, parity_join, seekable, token_counts, url_rules
+from panelworks.llm import bpe, decontaminate, line_dedup, oracles, order_minhash, parity_join, quality, seekable, token_counts, url_rules
 from panelworks.session import fresh_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -56,6 +56,10 @@ def op7_containment_search(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.find_items(_read(spark, sf, "documents"), _read(spark, sf, "benchmark"))
 
 
+def op8_fourier_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.quality_scores(_read(spark, sf, "documents"), _read(spark, sf, "labels"))
+
+
 def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     lengths = token_counts.encoded_lengths(_read(spark, sf, "documents"), BYTE_BPE)
     return token_counts.length_histogram(lengths)
@@ -66,7 +70,7 @@ def op10_order_minhash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_parity_join, op3_seekable_frames, op4_repeated_line_runs, op5_speculative_bpe, op6_url_rules, op7_containment_search, op9_token_counts, op10_order_minhash)}
+    f.__name__: f for f in (op2_parity_join, op3_seekable_frames, op4_repeated_line_runs, op5_speculative_bpe, op6_url_rules, op7_containment_search, op8_fourier_quality, op9_token_counts, op10_order_minhash)}
 ORACLE_SQL: dict[str, str] = {
     "op2_parity_join": oracles.PARITY_JOIN,
     "op4_repeated_line_runs": oracles.LINE_DEDUP,
