@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelworks.llm import bpe, decontaminate, line_dedup, oracles, order_minhash, parity_join, quality, seekable, token_counts, url_rules
+from panelworks.llm import bpe, decontaminate, language_id, line_dedup, oracles, order_minhash, parity_join, quality, seekable, token_counts, url_rules
 from panelworks.session import fresh_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,6 +19,10 @@ def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def op1_crf_language(spark: SparkSession, sf: str) -> DataFrame:
+    return language_id.identify(_read(spark, sf, "documents"))
+
+
 def op2_parity_join(spark: SparkSession, sf: str) -> DataFrame:
     return parity_join.jaccard_components(_read(spark, sf, "documents"))
 
@@ -70,7 +74,7 @@ def op10_order_minhash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_parity_join, op3_seekable_frames, op4_repeated_line_runs, op5_speculative_bpe, op6_url_rules, op7_containment_search, op8_fourier_quality, op9_token_counts, op10_order_minhash)}
+    f.__name__: f for f in (op1_crf_language, op2_parity_join, op3_seekable_frames, op4_repeated_line_runs, op5_speculative_bpe, op6_url_rules, op7_containment_search, op8_fourier_quality, op9_token_counts, op10_order_minhash)}
 ORACLE_SQL: dict[str, str] = {
     "op2_parity_join": oracles.PARITY_JOIN,
     "op4_repeated_line_runs": oracles.LINE_DEDUP,
