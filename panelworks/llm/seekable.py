@@ -27,14 +27,15 @@ from panelworks.session import materialize
 MAGIC = "PWSK"
 SKIPPABLE = 0x184D2A5E
 ENTRY = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("size", "<u4"), ("n", "<u4"), ("crc", "<u4")])
-TAIL = struct.Struct("<qqII")  # file's partition and number, entries, crc32 of the entries
+TAIL = struct.Struct("<qqI")  # file's partition and number, entries; then the crc32 of entries and tail
 FILE_BYTES = 32 << 20
 
 
 def _image(frames: list[bytes], entries: list[tuple], part: int, number: int) -> bytes:
     """A whole file but for the closing magic."""
     table = np.array(entries, ENTRY).tobytes()
-    tail = TAIL.pack(part, number, len(entries), zlib.crc32(table))
+    tail = TAIL.pack(part, number, len(entries))
+    tail += struct.pack("<I", zlib.crc32(table + tail))
     head = struct.pack("<II", SKIPPABLE, len(table) + len(tail) + len(MAGIC))
     return b"".join([*frames, head, table, tail])
 
@@ -83,10 +84,10 @@ def seek_table(content: bytes) -> tuple[np.ndarray, int, int]:
     """Entries, partition and number of a file; raises if the tail is damaged."""
     if content[-len(MAGIC):] != MAGIC.encode():
         raise ValueError("not a token file: the closing magic is missing")
-    stop = len(content) - len(MAGIC) - TAIL.size
-    part, number, n, crc = TAIL.unpack_from(content, stop)
-    table = content[stop - n * ENTRY.itemsize : stop]
-    if zlib.crc32(table) != crc:
+    stop = len(content) - len(MAGIC) - TAIL.size - 4
+    part, number, n = TAIL.unpack_from(content, stop)
+    table = content[max(0, stop - n * ENTRY.itemsize) : stop]
+    if struct.pack("<I", zlib.crc32(table + content[stop : stop + TAIL.size])) != content[stop + TAIL.size :][:4]:
         raise ValueError("the seek table is damaged")
     return np.frombuffer(table, ENTRY), part, number
 
