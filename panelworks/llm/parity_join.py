@@ -7,11 +7,12 @@ sketch into more than D parts; at most D parts of a linked pair differ, so some
 part's contents (XOR of the 64-bit hashes of its shingles) is the join key.
 
 Keys with few sets give all their pairs. Keys with many (a passage that documents share, or a large
-group of near copies) give only the star around their smallest set, and a set is searched further
-only if so many of its parts are in such keys that a partner could hide there. What is then left,
-pairs of different components in a common crowded key, is compared by dense sketches in cells of
-bounded size. Every pair that can pass is verified on exact sets. No link between different sets is
-lost: a skipped pair already has both ends in one component.
+group of near copies) give only the star around their smallest set. A set with N filled parts and
+limit D needs its first D + 1 keys only, in any common order (prefix filter): with the crowded keys
+last, most sets need none of those. What is then left, pairs of different components in a common
+crowded key, is compared by dense sketches in cells of bounded size. Possible pairs are verified on
+exact sets, the best ones of each set first, the others if their ends are still in different
+components. So no link between different sets is lost: a skipped pair has both ends in one component.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from collections.abc import Iterator, Sequence
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,8 +31,10 @@ from panelworks.session import materialize
 
 WORDS, PERCENT = 5, 75
 CROWDED = 8  # distinct sets from which a key gives a star instead of all pairs
-SKETCH_WORDS = 16
+SKETCH_WORDS = 8  # 64-bit words of the smallest sketch; larger sets have 4 to 8 bits per shingle
 CELL_ROWS = 4096
+SLACK_STEP = 4
+FLUSH = 1 << 20
 BUCKETS_PER_PARTITION = 4
 ENTRY = np.dtype([("k", "<u8"), ("s", "<u8")])
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -68,14 +70,28 @@ def _class_ids(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return mix(total(mix(h + _GOLD)) + n) >> np.uint64(48), mix(total(mix(h ^ _GOLD)) ^ n)
 
 
-def _sketches(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Dense parity sketches: (sets, SKETCH_WORDS) words of 64 bits."""
-    bits = 64 * SKETCH_WORDS
-    sets = len(bounds) - 1
-    doc = np.repeat(np.arange(sets), np.diff(bounds))
-    flips = np.bincount(doc * bits + (h % np.uint64(bits)).astype(np.int64), minlength=sets * bits) & 1
-    return np.packbits(flips.astype(np.uint8).reshape(sets, SKETCH_WORDS, 8, 8), axis=-1, bitorder="little").reshape(
-        sets, SKETCH_WORDS * 8).view("<u8")
+def _sketches(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Dense parity sketches of 64 * SKETCH_WORDS * 2^k bits, at least 4 bits per shingle."""
+    n = np.diff(bounds)
+    least = 64 * SKETCH_WORDS
+    bits = least << np.ceil(np.log2(np.maximum(4 * n / least, 1))).astype(np.int64)
+    at = np.cumsum(bits) - bits
+    place = np.repeat(at, n) + (h % np.repeat(bits, n).astype(np.uint64)).astype(np.int64)
+    flips = (np.bincount(place, minlength=int(bits.sum())) & 1).astype(np.uint8)
+    packed = np.packbits(flips, bitorder="little").tobytes()
+    return [packed[i // 8 : (i + b) // 8] for i, b in zip(at.tolist(), bits.tolist())]
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The sketch of the same set in fewer bits: parities of a smaller modulus."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """Hamming distance in the bits of the smaller sketch: never above the symmetric difference."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    words = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
 
 
 def _difference(a: int | np.ndarray, b: int | np.ndarray, percent: int) -> int | np.ndarray:
@@ -92,7 +108,10 @@ def _limits(most: int) -> np.ndarray:
 
 
 def _entries(h: np.ndarray, bounds: np.ndarray, percent: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pigeonhole keys of sets: (bucket, entry); an entry packs 40 key bits, slack, band and set id."""
+    """Pigeonhole keys of sets: (bucket, entry); an entry packs 40 key bits, slack, band and set id.
+
+    Slack is the number of filled parts above the limit, in steps rounded down.
+    """
     high, low = _class_ids(h, bounds)
     size = np.diff(bounds)
     least = _difference(size, -(-size * percent // 100), percent)
@@ -103,7 +122,7 @@ def _entries(h: np.ndarray, bounds: np.ndarray, percent: int, buckets: int) -> t
 
     def put(sets: np.ndarray, keys: np.ndarray, slack: np.ndarray, code: int) -> None:
         e = np.empty(len(keys), ENTRY)
-        bits = (np.clip(slack, 0, 63).astype(np.uint64) << np.uint64(2)) | np.uint64(code)
+        bits = (np.clip(slack // SLACK_STEP, 0, 63).astype(np.uint64) << np.uint64(2)) | np.uint64(code)
         e["k"] = (keys & np.uint64((1 << 40) - 1)) << np.uint64(24) | bits << np.uint64(16) | high[sets]
         e["s"] = low[sets]
         out.append(e)
@@ -127,18 +146,19 @@ def _entries(h: np.ndarray, bounds: np.ndarray, percent: int, buckets: int) -> t
         content = np.bitwise_xor.reduceat(mix(x + _GOLD)[order], begin)
         owner, number = own[order][begin], part[order][begin]
         keys = mix(content + mix(number.astype(np.uint64) + salt[owner]))
-        slack = np.bincount(owner, minlength=len(chosen)) - limits[level]
+        limit = np.minimum(limits[level], most[chosen])  # what a partner of this set can differ by here
+        slack = np.bincount(owner, minlength=len(chosen)) - limit
         for parity in (0, 1):
             mine = level[owner] % 2 == parity
             put(chosen[owner[mine]], keys[mine], slack[owner[mine]], parity)
         bare = (slack <= 0)[own]  # too few filled parts: each shingle is a key as well
         for parity in (0, 1):
             mine = bare & (level[own] % 2 == parity)
-            put(chosen[own[mine]], mix(x[mine] + ~salt[own[mine]]), (n - limits[level])[own[mine]], 2 + parity)
+            put(chosen[own[mine]], mix(x[mine] + ~salt[own[mine]]), (n - limit)[own[mine]], 2 + parity)
     return np.concatenate(out_bucket), np.concatenate(out)
 
 
-_SET_SCHEMA = "doc_id bigint, n_shingles bigint, ch bigint, cl bigint, sketch array<bigint>"
+_SET_SCHEMA = "doc_id bigint, n_shingles bigint, ch bigint, cl bigint, sketch binary, small binary"
 
 
 def _describe(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -147,29 +167,38 @@ def _describe(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
         for first, h, bounds in shingle_sets(batch.column("text").to_pylist(), words):
             high, low = _class_ids(h, bounds)
             n = len(bounds) - 1
-            sketch = pa.ListArray.from_arrays(
-                pa.array(np.arange(n + 1) * SKETCH_WORDS, pa.int32()), pa.array(_sketches(h, bounds).view(np.int64).ravel()))
+            sketch = _sketches(h, bounds)
+            small = [folded(np.frombuffer(x, "<u8"), SKETCH_WORDS).tobytes() for x in sketch]
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(first, n), pa.array(np.diff(bounds)), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), sketch],
-                ["doc_id", "n_shingles", "ch", "cl", "sketch"])
+                [ids.slice(first, n), pa.array(np.diff(bounds)), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)),
+                 pa.array(sketch, pa.binary()), pa.array(small, pa.binary())],
+                ["doc_id", "n_shingles", "ch", "cl", "sketch", "small"])
+
+
+def _packed(bucket: np.ndarray, entries: np.ndarray) -> pa.RecordBatch:
+    """One row per bucket; copies among the entries go."""
+    order = np.lexsort((entries["s"], entries["k"], bucket))
+    bucket, entries = bucket[order], entries[order]
+    new = np.ones(len(entries), bool)
+    new[1:] = (entries[1:] != entries[:-1]) | (bucket[1:] != bucket[:-1])
+    bucket, entries = bucket[new], entries[new]
+    at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    ends = np.append(at[1:], len(bucket))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[at], pa.int64()), pa.array([entries[i:j].tobytes() for i, j in zip(at, ends)], pa.binary())],
+        ["bucket", "packed"])
 
 
 def _emit(batches: Iterator[pa.RecordBatch], words: int, percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
     for batch in batches:
-        made = [_entries(h, bounds, percent, buckets) for _, h, bounds in shingle_sets(batch.column("text").to_pylist(), words)]
-        if not made:
-            continue
-        bucket, entries = (np.concatenate(x) for x in zip(*made))
-        order = np.lexsort((entries["s"], entries["k"], bucket))  # copies within the batch go
-        bucket, entries = bucket[order], entries[order]
-        new = np.ones(len(entries), bool)
-        new[1:] = (entries[1:] != entries[:-1]) | (bucket[1:] != bucket[:-1])
-        bucket, entries = bucket[new], entries[new]
-        at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-        ends = np.append(at[1:], len(bucket))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(bucket[at], pa.int64()), pa.array([entries[i:j].tobytes() for i, j in zip(at, ends)], pa.binary())],
-            ["bucket", "packed"])
+        for _, h, bounds in shingle_sets(batch.column("text").to_pylist(), words):
+            held.append(_entries(h, bounds, percent, buckets))
+            if sum(len(b) for b, _ in held) > FLUSH:
+                yield _packed(*(np.concatenate(x) for x in zip(*held)))
+                held = []
+    if held:
+        yield _packed(*(np.concatenate(x) for x in zip(*held)))
 
 
 _MET_SCHEMA = "ah bigint, al bigint, bh bigint, bl bigint, key bigint, code int, slack int"
@@ -240,15 +269,24 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-def _distance(a: str, b: str) -> F.Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sizes and sketches allow a link, with their distance as a share of the limit."""
+    for batch in batches:
+        n, m = batch.column("a_n").to_numpy(), batch.column("b_n").to_numpy()
+        fits = np.minimum(n, m) * 100 >= np.maximum(n, m) * percent
+        limit, far = _difference(n, m, percent), np.zeros(len(n))
+        a, b = batch.column("a_sketch"), batch.column("b_sketch")
+        for k in np.flatnonzero(fits).tolist():
+            far[k] = sketch_distance(a[k].as_py(), b[k].as_py())
+        keep = pa.array(fits & (far <= limit))
+        cols = [batch.column("a_rep"), batch.column("b_rep"), pa.array(far / np.maximum(limit, 1))]
+        yield pa.RecordBatch.from_arrays([c.filter(keep) for c in cols], ["a_rep", "b_rep", "far"])
 
 
 def _possible(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a_, b_ of rep, n, sketch) whose sketches allow a link."""
-    limit = F.floor((100 - percent) * (F.col("a_n") + F.col("b_n")) / (100 + percent))
-    sizes = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
-    return pairs.filter(sizes & (_distance("a_sketch", "b_sketch") <= limit)).select("a_rep", "b_rep")
+    """(a_rep < b_rep, far) of pairs (a_, b_ of rep, n, sketch) that can be links."""
+    met = pairs.mapInArrow(partial(_near, percent=percent), "a_rep bigint, b_rep bigint, far double")
+    return materialize(met.select(F.least("a_rep", "b_rep").alias("a_rep"), F.greatest("a_rep", "b_rep").alias("b_rep"), "far"), "pairs")
 
 
 def _side(classes: DataFrame, end: str) -> DataFrame:
@@ -257,6 +295,21 @@ def _side(classes: DataFrame, end: str) -> DataFrame:
         F.col("n_shingles").alias(f"{end}_n"), F.col("sketch").alias(f"{end}_sketch"))
 
 
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs whose ends are in different components so far."""
+    known = found.select(F.col("node").alias("a_rep"), F.col("component").alias("_ca"))
+    other = found.select(F.col("node").alias("b_rep"), F.col("component").alias("_cb"))
+    return pairs.join(known, "a_rep", "left").join(other, "b_rep", "left").filter(
+        F.coalesce("_ca", "a_rep") != F.coalesce("_cb", "b_rep")).select("a_rep", "b_rep", "far")
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """The most alike pair of every set."""
+    pair = F.struct("far", "a_rep", "b_rep")
+    each = pairs.select(F.explode(F.array("a_rep", "b_rep")).alias("node"), pair.alias("pair"))
+    return each.groupBy("node").agg(F.min("pair").alias("pair")).select("pair.a_rep", "pair.b_rep").distinct()
+
+
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("doc_id")
@@ -295,32 +348,75 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
     return materialize(met.mapInArrow(partial(_linked, percent=percent), "src bigint, dst bigint"), "links")
 
 
-def _compare(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs of one cell in different components whose sketches allow a link."""
+def _cell_pairs(rows: list[dict], percent: int) -> list[np.ndarray]:
+    """Pairs of one cell in different components whose small sketches allow a link."""
+    cols = {k: np.concatenate([r[k] for r in rows]) for k in ("rep", "n", "component", "main", "left")}
+    small = np.concatenate([r["small"] for r in rows])
+    i, j = np.flatnonzero(cols["left"]), np.flatnonzero(~cols["left"])
+    rep, n, comp = cols["rep"], cols["n"], cols["component"]
     out = []
-    if len(left) and len(right):
-        x = np.stack(left["sketch"].to_numpy()).astype(np.int64).view(np.uint64)
-        y = np.stack(right["sketch"].to_numpy()).astype(np.int64).view(np.uint64)
-        n, m = left["n_shingles"].to_numpy(), right["n_shingles"].to_numpy()
-        ra, rb = left["rep"].to_numpy(), right["rep"].to_numpy()
-        ca, cb, main = left["component"].to_numpy(), right["component"].to_numpy(), right["main"].to_numpy()
-        for i in range(len(left)):
-            near = (cb != ca[i]) & ((cb == main) | (rb > ra[i]))
-            near &= np.minimum(m, n[i]) * 100 >= np.maximum(m, n[i]) * percent
-            k = np.flatnonzero(near)
-            far = np.bitwise_count(y[k] ^ x[i]).sum(axis=1)
-            k = k[far <= _difference(m[k], n[i], percent)]
-            out += [(ra[i], r) for r in rb[k]]
-    return pd.DataFrame(out, columns=["a_rep", "b_rep"]).astype("int64")
+    step = max(1, (1 << 20) // max(len(j), 1))
+    for at in range(0, len(i), step):
+        x = i[at : at + step, None]
+        near = (comp[x] != comp[j]) & ((comp[j] == cols["main"][j]) | (rep[j] > rep[x]))
+        near &= np.minimum(n[x], n[j]) * 100 >= np.maximum(n[x], n[j]) * percent
+        p, q = np.nonzero(near)
+        p, q = x[p, 0], j[q]
+        far = np.bitwise_count(small[p] ^ small[q]).sum(axis=1)
+        fits = far <= _difference(n[p], n[q], percent)
+        out.append(np.stack([np.minimum(rep[p], rep[q]), np.maximum(rep[p], rep[q])])[:, fits])
+    return out
+
+
+def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Cells, in order, to the pairs of all of them; repeated pairs go from time to time."""
+    def flushed(pairs: list[np.ndarray]) -> np.ndarray:
+        both = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+        both = both[:, np.lexsort(both)]
+        new = np.ones(both.shape[1], bool)
+        new[1:] = (both[:, 1:] != both[:, :-1]).any(axis=0)
+        return both[:, new]
+
+    pairs: list[np.ndarray] = []
+    held: list[dict] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cell = np.stack([batch.column(c).to_numpy() for c in ("key", "_i", "_j")])
+        small = np.frombuffer(b"".join(batch.column("small").to_pylist()), "<u8").reshape(-1, SKETCH_WORDS)
+        cols = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("rep", "n", "component", "main", "left")} | {"small": small}
+        cuts = np.concatenate([[0], np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1, [batch.num_rows]])
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            here = tuple(cell[:, i].tolist())
+            if here != now:
+                if held:
+                    pairs += _cell_pairs(held, percent)
+                held, now = [], here
+            held.append({k: v[i:j] for k, v in cols.items()})
+        if sum(p.shape[1] for p in pairs) > FLUSH:
+            pairs = [flushed(pairs)]
+            if pairs[0].shape[1] > FLUSH // 2:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs[0]], ["a_rep", "b_rep"])
+                pairs = []
+    if held:
+        pairs += _cell_pairs(held, percent)
+    if pairs:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in flushed(pairs)], ["a_rep", "b_rep"])
 
 
 def _hidden(met: DataFrame, classes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs in a crowded key, both searched further, in different components so far."""
+    """(a_rep, b_rep): pairs in a crowded key that both ends need, in different components so far."""
+    n = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot = met.filter(F.col("bl").isNull()).select(F.col("ah").alias("ch"), F.col("al").alias("cl"), "key", "code", "slack")
-    unsafe = hot.groupBy("ch", "cl", "code").agg(F.count(F.lit(1)).alias("n"), F.max("slack").alias("slack")).filter("n >= slack")
-    members = hot.join(unsafe.drop("n", "slack"), ["ch", "cl", "code"], "left_semi").join(classes, ["ch", "cl"])
-    members = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    # a set needs all but (slack - 1) of its crowded keys, the least crowded ones
+    crowd = hot.groupBy("key").agg(F.count(F.lit(1)).alias("crowd"))
+    own = Window.partitionBy("ch", "cl", "code")
+    placed = hot.join(crowd, "key").withColumn("place", F.row_number().over(own.orderBy("crowd", "key")))
+    placed = placed.withColumn("held", F.count(F.lit(1)).over(own))
+    needed = placed.filter(F.col("place") <= F.col("held") - F.greatest(F.col("slack") * SLACK_STEP - 1, F.lit(0)))
+    members = needed.join(classes.select("ch", "cl", "rep"), ["ch", "cl"]).join(
+        found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     members = materialize(members, "members")
     sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     keys = sizes.groupBy("key").agg(
@@ -328,17 +424,14 @@ def _hidden(met: DataFrame, classes: DataFrame, found: DataFrame, percent: int)
     keys = keys.filter("kinds > 1").select(
         "key", F.col("top.component").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / CELL_ROWS).alias("rows"),
         F.ceil(F.col("all") / CELL_ROWS).alias("columns"))
-    placed = members.join(keys, "key").join(classes.select("rep", "sketch"), "rep")
-    at = F.xxhash64("rep")
-    left = placed.filter("component <> main").withColumn("_i", F.pmod(at, "rows")).select(
-        "*", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("_j"))
-    right = placed.withColumn("_j", F.pmod(at, "columns")).select(
-        "*", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("_i"))
-    right = right.toDF(*right.columns)  # other columns than the left side's
-    cell = ["key", "_i", "_j"]
-    pairs = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(
-        partial(_compare, percent=percent), "a_rep bigint, b_rep bigint")
-    return pairs.select(F.least("a_rep", "b_rep").alias("a_rep"), F.greatest("a_rep", "b_rep").alias("b_rep")).distinct()
+    sketched = classes.select("rep", F.col("n_shingles").alias("n"), "small")
+    cells = members.join(keys, "key").join(sketched, "rep").withColumn("_at", F.xxhash64("rep"))
+    all_rows = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: F.struct(i.alias("_i"), F.pmod("_at", "columns").alias("_j"), F.lit(False).alias("left")))
+    all_columns = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda j: F.struct(F.pmod("_at", "rows").alias("_i"), j.alias("_j"), F.lit(True).alias("left")))
+    sides = F.when(F.col("component") == F.col("main"), all_rows).otherwise(F.concat(all_rows, all_columns))
+    dealt = cells.select("key", "rep", "n", "component", "main", "small", F.inline(sides))
+    dealt = dealt.repartition(n, "key", "_i", "_j").sortWithinPartitions("key", "_i", "_j")
+    return dealt.mapInArrow(partial(_compare, percent=percent), "a_rep bigint, b_rep bigint").distinct()
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -357,25 +450,25 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     described = materialize(docs.mapInArrow(partial(_describe, words=words), _SET_SCHEMA), "described")
     filled = described.filter("n_shingles > 0 and doc_id is not null")
     classes = materialize(filled.groupBy("ch", "cl").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
+        F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n_shingles", "sketch", "small")]), "classes")
 
     entries = docs.filter("doc_id is not null").mapInArrow(
         partial(_emit, words=words, percent=percent, buckets=n * BUCKETS_PER_PARTITION), "bucket bigint, packed binary")
     met = materialize(entries.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _MET_SCHEMA), "met")
 
+    a, b = _side(classes, "a"), _side(classes, "b")
     pairs = met.filter(F.col("bl").isNotNull()).select("ah", "al", "bh", "bl").distinct()
-    pairs = _possible(pairs.join(_side(classes, "a"), ["ah", "al"]).join(_side(classes, "b"), ["bh", "bl"]), percent)
-    pairs = materialize(pairs.select(F.least("a_rep", "b_rep").alias("a_rep"), F.greatest("a_rep", "b_rep").alias("b_rep")), "pairs")
-    first = pairs.groupBy("b_rep").agg(F.min("a_rep").alias("a_rep")).select("a_rep", "b_rep")
-    links = _verified(first, docs, classes, words, percent)
+    pairs = _possible(pairs.join(a, ["ah", "al"]).join(b, ["bh", "bl"]), percent)
+    links = _verified(_best(pairs), docs, classes, words, percent)
     found = materialize(components(links), "found")
 
-    known = found.select(F.col("node").alias("a_rep"), F.col("component").alias("_ca"))
-    other = found.select(F.col("node").alias("b_rep"), F.col("component").alias("_cb"))
-    rest = pairs.join(first, ["a_rep", "b_rep"], "left_anti").unionByName(_hidden(met, classes, found, percent)).distinct()
-    rest = rest.join(known, "a_rep", "left").join(other, "b_rep", "left").filter(
-        F.coalesce("_ca", "a_rep") != F.coalesce("_cb", "b_rep")).select("a_rep", "b_rep")
-    more = _verified(rest, docs, classes, words, percent)
+    hidden = _possible(_hidden(met, classes, found, percent).join(a, "a_rep").join(b, "b_rep"), percent)
+    rest = materialize(_apart(pairs.unionByName(hidden).distinct(), found), "rest")
+    for some in (_best, lambda p: p.select("a_rep", "b_rep")):
+        more = _verified(some(rest), docs, classes, words, percent)
+        settled = found.select(F.col("node").alias("src"), F.col("component").alias("dst"))
+        found = materialize(components(settled.unionByName(more)), "found")
+        rest = materialize(_apart(rest, found), "rest")
 
     reps = described.join(classes.select("ch", "cl", "rep"), ["ch", "cl"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep"))
@@ -383,7 +476,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     twice = reps.filter("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x <> y")
     several = reps.join(twice, "doc_id", "left_semi").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
     settled = found.select(F.col("node").alias("src"), F.col("component").alias("dst"))
-    final = components(settled.unionByName(more).unionByName(several))
+    final = components(settled.unionByName(several))
     named = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
     return named.select("doc_id", "n_shingles", own.alias("component_id"))
