@@ -26,27 +26,26 @@ def words_of(text: str) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(F.col(text), F.lit("")), _UPPER, _LOWER), " ", -1), "")
 
 
-def _tuples(words: Column) -> Column:
-    """Hashes of every run of WORDS words; a shorter text is one run, an empty one none."""
-    h = F.transform(words, lambda w: F.xxhash64(w))
-    n = F.size(h)
-    runs = F.arrays_zip(*[F.slice(h, k + 1, F.greatest(n - WORDS + 1, F.lit(0))).alias(f"w{k}") for k in range(WORDS)])
-    short = F.array(F.struct(*[F.get(h, F.lit(k)).alias(f"w{k}") for k in range(WORDS)]))
-    return F.when(n >= WORDS, runs).otherwise(F.when(n > 0, short))
-
-
-def _shingles(words: Column) -> Column:
-    """Distinct shingles as texts."""
+def _shingles(words: str) -> Column:
+    """Distinct shingles of a column of words, as texts."""
     n = F.size(words)
     runs = F.transform(F.sequence(F.lit(1), n - WORDS + 1), lambda i: F.array_join(F.slice(words, i, WORDS), " "))
     return F.array_distinct(F.when(n >= WORDS, runs).otherwise(F.when(n > 0, F.array(F.array_join(words, " "))).otherwise(F.array())))
 
 
-def _hashed(rows: DataFrame, *keep: str) -> DataFrame:
-    """(keep, n, h): a row per shingle position, n positions in all."""
-    runs = rows.select(*keep, _tuples(F.col("_words")).alias("_runs"))
-    each = runs.select(*keep, F.size("_runs").alias("n"), F.explode("_runs").alias("s"))
-    return each.select(*keep, "n", F.xxhash64(*[f"s.w{k}" for k in range(WORDS)]).alias("h"))
+def _hashed(rows: DataFrame, keep: str) -> DataFrame:
+    """(keep, n, h): a row per shingle position, n positions in all; a short text is one shingle.
+
+    Each step is a column of its own, so that it is computed once although the next uses it often. (An
+    inner explode would add a filter on its size, which computes everything twice.)
+    """
+    hashed = rows.select(keep, F.transform("_words", lambda w: F.xxhash64(w)).alias("_h"))
+    n = F.size("_h")
+    runs = F.arrays_zip(*[F.slice("_h", k + 1, F.greatest(n - WORDS + 1, F.lit(0))).alias(f"w{k}") for k in range(WORDS)])
+    short = F.array(F.struct(*[F.get("_h", F.lit(k)).alias(f"w{k}") for k in range(WORDS)]))
+    runs = hashed.select(keep, F.when(n >= WORDS, runs).otherwise(F.when(n > 0, short)).alias("_runs"))
+    each = runs.select(keep, F.size("_runs").alias("n"), F.explode_outer("_runs").alias("s"))
+    return each.filter(F.col("s").isNotNull()).select(keep, "n", F.xxhash64(*[f"s.w{k}" for k in range(WORDS)]).alias("h"))
 
 
 def _item_sketches(items: DataFrame, percent: int) -> DataFrame:
@@ -66,7 +65,7 @@ def find_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> Dat
     """
     items = items.select(F.struct(F.col("item_id").alias("id"), F.xxhash64("text").alias("of")).alias("item"), words_of("text").alias("_words"))
     items = items.filter(F.size("_words") > 0).dropDuplicates(["item"])
-    whole = materialize(items.select("item", _shingles(F.col("_words")).alias("wanted")), "items")
+    whole = materialize(items.select("item", _shingles("_words").alias("wanted")), "items")
     sketches = materialize(_item_sketches(items, percent), "sketches")
 
     # one bound per power of two: at most 32 rows
@@ -86,7 +85,7 @@ def _verified(docs: DataFrame, candidates: DataFrame, items: DataFrame, percent:
     candidates = materialize(candidates, "candidates")
     texts = docs.select(document_key().alias("doc"), "text").join(
         materialize(candidates.select("doc").distinct(), "concerned"), "doc", "left_semi").dropDuplicates(["doc"])
-    held = texts.select("doc", _shingles(words_of("text")).alias("held"))
+    held = texts.select("doc", words_of("text").alias("_words")).select("doc", _shingles("_words").alias("held"))
     met = candidates.join(held, "doc").join(items, "item")
     counted = met.select(
         F.col("doc.id").alias("doc_id"), F.col("item.id").alias("item_id"), F.size("wanted").cast("bigint").alias("n_item"),

@@ -25,7 +25,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def _repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc, pos, words, first half id, second half id) of all lines that occur more than once."""
-    lines = docs.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).select(
+    # (an inner explode would add a filter on its size, which splits every text twice)
+    lines = docs.select("doc", F.posexplode_outer(F.split("text", "\n", -1)).alias("pos", "line"))
+    lines = lines.filter(F.col("line").isNotNull()).select(
         "doc", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"),
         F.regexp_count("line", F.lit(WORD)).cast("bigint").alias("words"))
     often = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
