@@ -147,8 +147,3 @@ def hash_order(key: ColumnOrName, seed: int) -> Column:
     """Seeded pseudo-random order key, the same in every engine that has md5."""
     return F.md5(F.concat(col(key).cast("string"), F.lit(f":{seed}")).cast("binary"))
 
-
-def value_segment(c: ColumnOrName, per_e: int = 1024) -> Column:
-    """Monotone log-scale bucket of a number: fixed, so it needs no pass over the data."""
-    x = col(c).cast("double")
-    return F.floor(F.signum(x) * F.log1p(F.abs(x)) * F.lit(per_e)).cast("long")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelworks.functions.scalars import value_segment
+from panelworks.operators.position import range_segments
 
 
 def conflicting_ids(df: DataFrame, key: str, period: str, checked: str) -> DataFrame:
@@ -78,16 +78,13 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: rows (by, prob, value).
 
-    Values are counted first (a hot value is one row), split into fixed log-scale segments, and
-    only the one or two segments that hold a wanted rank are searched.
+    Values are counted first (a hot value is one row), dealt into balanced ranges of (by, value),
+    and only the one or two ranges that hold a wanted rank are searched. NaN counts as unknown.
     """
     by = list(by)
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_seg", value_segment("_v"))
-    )
+    v = F.nanvl(F.col(value).cast("double"), F.lit(None))
+    counts = df.select(*by, v.alias("_v")).filter(F.col("_v").isNotNull()).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    counts = range_segments(counts, *by, "_v", name="_seg")
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # rows are segments
     up = group.orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     at = F.col("prob") * (F.col("_total") - 1)

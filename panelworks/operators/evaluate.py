@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelworks.functions.scalars import above, value_segment
+from panelworks.functions.scalars import above
 from panelworks.operators.aggregate import exact_quantiles
-from panelworks.operators.position import running_within_segments
+from panelworks.operators.position import range_segments, running_within_segments
 
 
 def confusion_shares(df: DataFrame, y: str, cls: str) -> DataFrame:
@@ -53,12 +53,14 @@ def classification_report(df: DataFrame, y: str, cls: str) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
-    """Area under the ROC curve, ties averaged; null if one class is missing."""
-    by_score = (
-        df.groupBy(F.col(score).cast("double").alias("_s"))
-        .agg(F.count_if(F.col(y) == 1).alias("_p"), F.count_if(F.col(y) == 0).alias("_n"))
-        .withColumn("_seg", value_segment("_s"))
-    )
+    """Area under the ROC curve, ties averaged; null if one class is missing.
+
+    Rows without a score (null or NaN) are left out.
+    """
+    s = F.nanvl(F.col(score).cast("double"), F.lit(None))
+    by_score = df.select(s.alias("_s"), y).filter(F.col("_s").isNotNull()).groupBy("_s").agg(
+        F.count_if(F.col(y) == 1).alias("_p"), F.count_if(F.col(y) == 0).alias("_n"))
+    by_score = range_segments(by_score, "_s", name="_seg")
     placed = running_within_segments(by_score, "_s", [], ["_n"])
     wins = F.sum(F.col("_p").cast("double") * (F.col("_n_before") + F.col("_n") / 2))
     return placed.agg(F.try_divide(wins, F.sum("_p").cast("double") * F.sum("_n").cast("double")).alias("auc"))
@@ -109,16 +111,19 @@ def grid_points(df: DataFrame, column: str, points: int = 10) -> DataFrame:
 
 
 def _bucket(value, grid):
-    """0-based bucket: left-closed, the last one closed on both sides."""
+    """0-based bucket: left-closed, the last one closed on both sides; null for an unknown value."""
     at = F.size(F.filter(grid, lambda e: e <= value)) - 1
-    return F.least(at, F.greatest(F.size(grid) - 2, F.lit(0)))
+    return F.when(value.isNotNull(), F.least(at, F.greatest(F.size(grid) - 2, F.lit(0))))
 
 
 def target_by_bucket(df: DataFrame, columns: Sequence[str], target: str, points: int = 10) -> DataFrame:
-    """Count and mean target per percentile bucket of one or more features."""
+    """Count and mean target per percentile bucket of one or more features.
+
+    Unknown values (null or NaN) have a bucket of their own, null.
+    """
     out = df
     for c in columns:
         out = out.withColumn(f"_g_{c}", grid_points(df, c, points).scalar())
-    out = out.withColumns({f"bucket_{c}": _bucket(F.col(c), F.col(f"_g_{c}")) for c in columns})
+    out = out.withColumns({f"bucket_{c}": _bucket(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.col(f"_g_{c}")) for c in columns})
     return out.groupBy(*[f"bucket_{c}" for c in columns]).agg(
         F.count(F.lit(1)).alias("n"), F.avg(target).alias("rate"))

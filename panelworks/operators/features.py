@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from panelworks.functions.scalars import col
 from panelworks.operators.aggregate import exact_medians, global_value, modes
 from panelworks.operators.position import range_segments, with_position
-from panelworks.operators.select import text_columns
-
-MAX_ONE_HOT = 1000
 
 
 def group_rare(df: DataFrame, column: str, out: str, max_count: int = 10, other: str = "Other") -> DataFrame:
@@ -48,24 +45,8 @@ def label_encode(df: DataFrame, column: str, out: str) -> DataFrame:
     )
 
 
-def column_values(df: DataFrame, columns: Sequence[str], limit: int = MAX_ONE_HOT) -> dict[str, list]:
-    """Sorted distinct known values per column, one job; refuses columns wider than ``limit``."""
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns
-    ])).alias("e")).select("e.*").filter(F.col("v").isNotNull()).distinct()
-    found = long.limit(limit * len(columns) + 1).collect()
-    out: dict[str, list] = {c: [] for c in columns}
-    for r in found:
-        out[r["c"]].append(r["v"])
-    wide = [c for c, v in out.items() if len(v) > limit]
-    if wide or len(found) > limit * len(columns):
-        raise ValueError(f"more than {limit} values in {wide or columns}: use sparse_one_hot")
-    return {c: sorted(v) for c, v in out.items()}
-
-
-def one_hot(df: DataFrame, values: Mapping[str, Sequence] | None = None) -> DataFrame:
-    """Text columns become 0/1 columns ``<column>_<value>``; null gives all zeros."""
-    values = column_values(df, text_columns(df)) if values is None else values
+def one_hot(df: DataFrame, values: Mapping[str, Sequence]) -> DataFrame:
+    """Columns with stated values become 0/1 columns ``<column>_<value>``; null and others give all zeros."""
     kept = [c for c in df.columns if c not in values]
     hot = [
         F.coalesce((F.col(c).cast("string") == F.lit(v)).cast("int"), F.lit(0)).alias(f"{c}_{v}")
@@ -75,14 +56,10 @@ def one_hot(df: DataFrame, values: Mapping[str, Sequence] | None = None) -> Data
     return df.select(*kept, *hot)
 
 
-def sparse_one_hot(df: DataFrame, column: str, out: str) -> DataFrame:
-    """The vector form for columns too wide for flags."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer
-
-    idx = StringIndexer(inputCol=column, outputCol="_i", handleInvalid="keep", stringOrderType="alphabetAsc")
-    enc = OneHotEncoder(inputCol="_i", outputCol=out, dropLast=False)
-    return Pipeline(stages=[idx, enc]).fit(df).transform(df).drop("_i")
+def one_hot_long(df: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, code, flag): the form for columns of unknown width, a row per known value."""
+    coded = label_encode(df.select(key, column), column, "code").filter(F.col("code").isNotNull())
+    return coded.select(key, "code", F.lit(1).alias("flag"))
 
 
 def minmax_scale(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from panelworks.functions.scalars import hash_order
 from panelworks.session import materialize
 
+SEGMENT_ROWS = 50_000
+
 
 def _running_offsets(counts: DataFrame, by: Sequence[str], n: str) -> DataFrame:
     """Rows before each segment. ``counts`` holds one row per segment, not per input row."""
@@ -46,26 +48,39 @@ def with_position(
     )
 
 
-def range_segments(keys: DataFrame, order: str, name: str = "_range") -> DataFrame:
+def range_segments(keys: DataFrame, *order: str, name: str = "_range") -> DataFrame:
     """Distinct sort keys of any type with a balanced, rising segment number.
 
-    Spark samples the ranges; writing the result freezes them for every later reader.
+    Spark samples the ranges; writing the result freezes them for every later reader. With several
+    keys the number rises within each value of the first ones, so a hot group is cut as well.
     """
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keys.repartitionByRange(n, order).withColumn(name, F.spark_partition_id())
+    dealt = keys.repartitionByRange(n, *order).withColumn(name, F.spark_partition_id())
     return materialize(dealt, "ranges")
 
 
 def with_hash_rank(
     df: DataFrame, key: str, seed: int, by: Sequence[str] = (), name: str = "rank"
 ) -> DataFrame:
-    """Position in seeded pseudo-random order; the first three hash digits are the segment."""
+    """Position in seeded pseudo-random order; leading hash digits are the segment.
+
+    As many digits as bring a segment down to SEGMENT_ROWS rows on average, whatever the row count.
+    """
+    digits = hash_digits(df.count())
     keyed = df.withColumn("_h", hash_order(key, seed))
     return with_position(
-        keyed, ["_h", key], F.substring("_h", 1, 3), by, name
+        keyed, ["_h", key], F.substring("_h", 1, digits), by, name
     ).drop("_h")
 
 
+def hash_digits(rows: int) -> int:
+    """Leading hexadecimal digits that cut ``rows`` into segments of SEGMENT_ROWS at most on average."""
+    digits = 1
+    while rows > SEGMENT_ROWS * 16**digits:
+        digits += 1
+    return digits
+
+
 def shift_rows(
     df: DataFrame,
     order: str,

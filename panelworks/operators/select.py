@@ -73,7 +73,3 @@ def unpivot(df: DataFrame, ids: Sequence[str], name: str, value: str) -> DataFra
     """Wide to long; null cells are dropped."""
     cols = [c for c in df.columns if c not in ids]
     return df.unpivot(list(ids), cols, name, value).filter(F.col(value).isNotNull())
-
-
-def with_columns(df: DataFrame, exprs: Mapping[str, Column]) -> DataFrame:
-    return df.withColumns(dict(exprs))

@@ -9,10 +9,14 @@ from panelworks.operators.nearest import nearest_neighbours
 from panelworks.operators.position import with_hash_rank
 from panelworks.session import materialize
 
+#: Synthetic rows are numbered in blocks of this many, so no array grows with the data.
+DRAWS = 1000
+
 
 def _with_class_size(df: DataFrame, label: str) -> DataFrame:
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nl"))  # one row per class
-    return df.join(sizes, label)
+    """A null label is a class of its own, here and in all splits."""
+    sizes = df.groupBy(F.col(label).alias("_cl")).agg(F.count(F.lit(1)).alias("_nl"))  # one row per class
+    return df.join(sizes, F.col(label).eqNullSafe(F.col("_cl"))).drop("_cl")
 
 
 def split_stratified(df: DataFrame, key: str, label: str, seed: int, share: float = 0.2) -> DataFrame:
@@ -62,14 +66,15 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_class_weights(df: DataFrame, label: str) -> DataFrame:
-    return df.join(class_weights(df, label).drop("n"), label)
+    weights = class_weights(df, label).select(F.col(label).alias("_cl"), "weight")
+    return df.join(weights, F.col(label).eqNullSafe(F.col("_cl"))).drop("_cl")
 
 
 def undersample(df: DataFrame, key: str, label: str, minority: int, seed: int, ratio: float = 0.8) -> DataFrame:
-    """All minority rows and the first floor(n_min / ratio) others in hash order."""
+    """All minority rows and the first floor(n_min / ratio) others in hash order; a null label is another."""
     small = df.filter(F.col(label) == minority)
     n = small.agg(F.floor(F.count(F.lit(1)) / ratio)).scalar()
-    rest = df.filter(F.col(label) != minority)
+    rest = df.filter(~F.col(label).eqNullSafe(F.lit(minority)))
     kept = with_hash_rank(rest, key, seed, name="_r").filter(F.col("_r") <= n).drop("_r")
     return small.unionByName(kept)
 
@@ -107,7 +112,8 @@ def adasyn_rows(
     h = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("j").cast("string"), F.lit(seed)).cast("binary"))
     hexnum = lambda a, n: F.conv(F.substring(h, a, n), 16, 10).cast("long")
     drawn = (
-        plan.select(key, F.explode(F.sequence(F.lit(1).cast("long"), F.col("g"))).alias("j"))
+        plan.select(key, "g", F.explode(F.sequence(F.lit(0), F.floor((F.col("g") - 1) / DRAWS))).alias("_b"))
+        .select(key, F.explode(F.sequence(F.col("_b") * DRAWS + 1, F.least(F.col("g"), (F.col("_b") + 1) * DRAWS))).alias("j"))
         .join(mates, F.col(key) == F.col("_p"))
         .withColumns({"rank": (F.pmod(hexnum(1, 6), F.col("_m")) + 1).cast("int"),
                       "u": hexnum(9, 8).cast("double") / F.lit(float(16**8))})

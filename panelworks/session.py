@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,12 +25,18 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, memory: str = "8
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``; a temporary one only where unset."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
+    """The folder all executors see: ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    A temporary folder serves only a local master; on a cluster a missing setting is an error,
+    because executors would write to disks of their own.
+    """
+    context = spark.sparkContext
+    conf = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    conf = conf or context.getCheckpointDir()
     if conf:
         return conf.rstrip("/")
+    if not re.fullmatch(r"local(\[[^,\]]*(,\d+)?\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = spark.conf.get("panelworks.local.dir", None)
     if made is None:
         made = tempfile.mkdtemp(prefix="panelworks-")
@@ -52,11 +59,3 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Deal a scan with fewer splits than cores out to all cores; leave larger scans alone.
-
-    For plain file scans that feed costly per-row work; counting the splits runs no job.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

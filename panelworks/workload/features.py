@@ -140,7 +140,8 @@ def group_rare(spark, sf):
     case when unit = 'HOUSEHOLD' then 1 else 0 end as "unit_HOUSEHOLD",
     case when unit = 'MACHINERY' then 1 else 0 end as "unit_MACHINERY" from gaps""", "gaps")
 def one_hot(spark, sf):
-    return FE.one_hot(V.gaps(spark, sf).drop("place"))
+    units = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+    return FE.one_hot(V.gaps(spark, sf).drop("place"), {"unit": units})
 
 
 LEVELS = ["L1", "L2", "L3", "L4", "L5"]

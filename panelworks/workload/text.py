@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelworks.functions.scalars import has_token
 from panelworks.operators import similarity as SIM
 from panelworks.operators import text as TX
-from panelworks.session import spread
+from panelworks.session import materialize
 from panelworks.workload.registry import query
 from panelworks.workload.views import table
 
@@ -28,12 +28,12 @@ TFIDF_SQL = rf"""
   select doc_id, cast(generate_subscripts(t, 1) - 1 as int) as pos, unnest(t) as term
   from (select doc_id, regexp_extract_all(lower(text), '{_PATTERN}') as t from documents) x""")
 def tokenize(spark, sf):
-    return TX.token_rows(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text")
+    return TX.token_rows(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
 def document_vectors(spark, sf):
-    d = spread(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
-    return TX.tfidf(TX.term_counts(d, "id", "text"), "id")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return TX.tfidf(materialize(TX.term_counts(d, "id", "text"), "counts"), "id")
 
 
 @query("tfidf", TFIDF_SQL + " select id, term, round(w, 6) as w from tfidf")
@@ -43,7 +43,7 @@ def tfidf(spark, sf):
 
 @query("vocabulary", TFIDF_SQL + " select term, df from voc")
 def vocabulary(spark, sf):
-    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    d = table(spark, sf, "documents").select("doc_id", "text")
     return TX.vocabulary(TX.term_counts(d, "doc_id", "text"))
 
 

@@ -14,7 +14,10 @@ from panelworks.operators import joins as J
 from panelworks.operators import position as P
 from panelworks.operators import quality as Q
 from panelworks.operators import select as SEL
+from panelworks.operators import split as SP
 from panelworks.plans import lookups
+from panelworks.session import shared_dir
+from panelworks.sources import files as FILES
 from panelworks.workload.views import title_group
 
 
@@ -153,12 +156,79 @@ def test_rare_values_and_null(spark):
     assert got[0] == "big" and got[20] == "Other" and got[21] is None
 
 
-def test_one_hot_refuses_wide_columns_and_sparse_form_serves(spark):
-    df = spark.createDataFrame([(i, f"v{i}") for i in range(20)], "id int, c string")
-    with pytest.raises(ValueError):
-        FE.column_values(df, ["c"], limit=10)
-    assert FE.column_values(df, ["c"])["c"][0] == "v0"
-    assert FE.sparse_one_hot(df, "c", "v").count() == 20
+def test_one_hot_of_stated_values_and_of_any_width(spark):
+    df = spark.createDataFrame([(i, f"v{i:04}") for i in range(1500)] + [(1500, None)], "id int, c string")
+    flags = FE.one_hot(df, {"c": ["v0001", "v0002"]})
+    assert values(flags.filter("id in (0, 1, 1500)"), "id", "c_v0001", "c_v0002") == [(0, 0, 0), (1, 1, 0), (1500, 0, 0)]
+    long = values(FE.one_hot_long(df, "id", "c"), "id", "code", "flag")
+    assert sorted(long) == [(i, i, 1) for i in range(1500)]
+
+
+def test_quantiles_of_crowded_values_and_nan(spark):
+    base = 1_700_000_000
+    df = spark.range(20_000).select(
+        (F.col("id") % 3).alias("g"), (F.lit(base) + F.col("id")).cast("double").alias("epoch"),
+        (F.col("id") / 2e7).alias("small"), F.when(F.col("id") % 2 == 0, float("nan")).otherwise(F.col("id")).alias("odd"))
+    got = A.exact_quantiles(df, "epoch", [0.0, 0.5, 1.0]).collect()
+    assert sorted((r["prob"], r["value"]) for r in got) == [(0.0, base), (0.5, base + 9999.5), (1.0, base + 19999.0)]
+    assert A.exact_medians(df, "odd").first()[0] == 10_000.0
+    assert A.exact_medians(df, "small", ["g"]).count() == 3
+    counted = df.select("epoch").distinct()
+    sizes = [r["count"] for r in P.range_segments(counted, "epoch", name="s").groupBy("s").count().collect()]
+    assert max(sizes) <= 2 * sum(sizes) / len(sizes)
+    hot = P.range_segments(df.select("g", "epoch"), "g", "epoch", name="s").groupBy("s").count().collect()
+    assert len(hot) > 1 and max(r["count"] for r in hot) <= 2 * 20_000 / len(hot)
+
+
+def test_auc_leaves_out_unknown_scores(spark):
+    rows = [(1, 0.9), (1, 0.8), (0, 0.1), (0, 0.85), (1, float("nan")), (0, None)]
+    df = spark.createDataFrame(rows, "y int, s double")
+    assert E.roc_auc(df, "y", "s").first()["auc"] == 0.75
+
+
+def test_unknown_feature_values_have_a_null_bucket(spark):
+    df = spark.createDataFrame([(float(i), 1.0) for i in range(20)] + [(None, 0.0), (float("nan"), 0.0)], "x double, t double")
+    got = {r["bucket_x"]: r["n"] for r in E.target_by_bucket(df, ["x"], "t", 5).collect()}
+    assert got[None] == 2 and -1 not in got
+
+
+def test_null_labels_keep_their_rows(spark):
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else i % 2) for i in range(40)], "id int, y int")
+    assert SP.split_stratified(df, "id", "y", 5).count() == 40
+    assert SP.with_class_weights(df, "y").count() == 40
+    assert SP.undersample(df, "id", "y", 1, 5, 0.8).filter("y is null or y = 0").count() == 20
+
+
+def test_hot_partition_value_is_written_in_slices(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(FILES, "FILE_ROWS", 100)
+    df = spark.range(1000).select("id", F.when(F.col("id") < 900, "hot").otherwise("cold").alias("p"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else small slices share a task
+    FILES.write_partitioned(df, str(tmp_path / "t"), ["p"])
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "t" / "p=hot").glob("part-*"))) > 2
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 1000
+
+
+def test_hash_digits_follow_the_rows():
+    assert [P.hash_digits(n) for n in (0, 50_000, 800_001, 10**12)] == [1, 1, 2, 7]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf(dict):
+        get = lambda self, k, d=None: dict.get(self, k, d)
+
+    class Context:
+        master, folder = "spark://host:7077", None
+        getConf = lambda self: Conf()
+        getCheckpointDir = lambda self: self.folder
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session)
+    Session.sparkContext.folder = "hdfs://store/shared/"
+    assert shared_dir(Session) == "hdfs://store/shared"
 
 
 def test_shift_by_zero_and_label_codes(spark):
