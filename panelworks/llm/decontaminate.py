@@ -43,8 +43,9 @@ def _hashed(rows: DataFrame, keep: str) -> DataFrame:
     n = F.size("_h")
     runs = F.arrays_zip(*[F.slice("_h", k + 1, F.greatest(n - WORDS + 1, F.lit(0))).alias(f"w{k}") for k in range(WORDS)])
     short = F.array(F.struct(*[F.get("_h", F.lit(k)).alias(f"w{k}") for k in range(WORDS)]))
-    runs = hashed.select(keep, F.when(n >= WORDS, runs).otherwise(F.when(n > 0, short)).alias("_runs"))
-    each = runs.select(keep, F.size("_runs").alias("n"), F.explode_outer("_runs").alias("s"))
+    runs = F.when(n >= WORDS, runs).otherwise(F.when(n > 0, short))
+    runs = hashed.select(keep, F.greatest(n - WORDS + 1, F.lit(1)).alias("n"), runs.alias("_runs"))
+    each = runs.select(keep, "n", F.explode_outer("_runs").alias("s"))
     return each.filter(F.col("s").isNotNull()).select(keep, "n", F.xxhash64(*[f"s.w{k}" for k in range(WORDS)]).alias("h"))
 
 
