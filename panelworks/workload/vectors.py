@@ -66,6 +66,13 @@ def vector_edges(spark, sf):
     return materialize(N.dense_pairs(V.vectors(spark, sf), "id", "v", 0.3).select("src", "dst"), "edges")
 
 
+def grouped_edges(spark, sf):
+    """(edges between representatives, members): the same graph without a row per pair of copies."""
+    v = V.vectors(spark, sf)
+    edges = materialize(N.dense_pairs(v, "id", "v", 0.3, links=False).select("src", "dst"), "edges")
+    return edges, materialize(N.vector_members(v, "id", "v"), "members")
+
+
 EDGES_SQL = f"{_SIM_SQL.strip()}, edges as (select src, dst from sim where src < dst and sim > 0.3)"
 
 

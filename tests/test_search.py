@@ -303,3 +303,23 @@ def test_token_vocabulary(spark):
     raw = {"ab": 2 * (math.log((1 + n) / 2) + 1), "cd": math.log((1 + n) / 3) + 1}
     assert w[(1, "ab")] == pytest.approx(raw["ab"] / math.hypot(*raw.values())) and w[(2, "cd")] == pytest.approx(1)
     assert S.has_token("t") is not None
+
+
+def test_degrees_count_every_copy(spark):
+    """Against all pairs: groups of 1, 3 and 50 equal vectors, some near another, one zero vector."""
+    base = [([1.0, 0.0, 0.0], 3), ([1.0, 0.1, 0.0], 1), ([0.0, 1.0, 0.0], 50), ([0.1, 1.0, 0.2], 2), ([0.0, 0.0, 2.0], 1), ([0.0, 0.0, 0.0], 2)]
+    rows = [(i, v) for i, v in enumerate(v for v, n in base for _ in range(n))]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    edges, members = nearest.dense_pairs(df, "id", "v", 0.8, links=False), nearest.vector_members(df, "id", "v")
+
+    def cosine(a, b):
+        n = math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+        return sum(x * y for x, y in zip(a, b)) / n if n else 0.0
+
+    want = {i: 0 for i, _ in rows}
+    for (i, a), (j, b) in itertools.combinations(rows, 2):
+        if cosine(a, b) > 0.8:
+            want[i] += 1
+            want[j] += 1
+    assert {r["id"]: r["degree"] for r in graph.grouped_degree(df, edges, members, "id").collect()} == want
+    assert graph.grouped_counts(df, edges, members, "id").first().asDict() == {"n_nodes": len(rows), "n_edges": sum(want.values()) // 2}
