@@ -131,7 +131,8 @@ def delete_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFra
     A text whose lines are all deleted becomes empty; a null text stays null. Columns of the input
     named n_lines or n_deleted are replaced.
     """
-    runs = materialize(repeated_runs(docs, min_words), "runs")
+    # lists of runs grow with the data and are far larger in memory than on disk: never broadcast them
+    runs = materialize(repeated_runs(docs, min_words), "runs").hint("merge")
     kept = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
     keyed = docs.select(*kept, document_key().alias("_doc")).join(runs.toDF("_doc", "_runs"), "_doc", "left")
     lines = F.split("text", "\n", -1)
