@@ -25,7 +25,7 @@ def _ready(df: DataFrame, v: str) -> DataFrame:
 
 def fit_forest(
     df: DataFrame, v: str, label: str, trees: int = 125, depth: int = 8, per_split: str = "50",
-    min_leaf: int = 5, seed: int = 555,
+    min_leaf: int = 5, seed: int = 9005,
 ):
     """Random forest with balanced class weights."""
     rf = RandomForestClassifier(

@@ -57,7 +57,7 @@ class WideRatings:
 
 def ratings_of_year(
     main: DataFrame, lists: Sequence[WideRatings], key: str, year_col: str, rating: str, year: int,
-    sentinels: Sequence[str] = ("Newcomer",), excluded_ids: Sequence = (), known_only: bool = False,
+    sentinels: Sequence[str] = ("joined",), excluded_ids: Sequence = (), known_only: bool = False,
 ) -> DataFrame:
     """All ratings of one year, (key, rating), duplicates removed."""
     m = drop_sentinels(main.filter(F.col(year_col) == year), {rating: sentinels})

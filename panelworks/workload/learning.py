@@ -19,30 +19,30 @@ def _md5(key: str, seed: int) -> str:
 
 @query("split_stratified", f"""
   select id, y, case when rn <= round(0.2 * n) then 'test' else 'train' end as split from (
-    select id, y, row_number() over (partition by y order by {_md5('id', 20112)}) as rn,
+    select id, y, row_number() over (partition by y order by {_md5('id', 9001)}) as rn,
       count(*) over (partition by y) as n from preds) x""", "preds")
 def split_stratified(spark, sf):
-    return SP.split_stratified(V.preds(spark, sf).drop("p"), "id", "y", 20112)
+    return SP.split_stratified(V.preds(spark, sf).drop("p"), "id", "y", 9001)
 
 
 @query("split_random", f"""
   select id, case when rn <= round(0.2 * n) then 'test' else 'train' end as split from (
-    select id, row_number() over (order by {_md5('id', 3212)}) as rn, count(*) over () as n from preds) x""", "preds")
+    select id, row_number() over (order by {_md5('id', 9002)}) as rn, count(*) over () as n from preds) x""", "preds")
 def split_random(spark, sf):
-    return SP.split_random(V.preds(spark, sf).select("id"), "id", 3212)
+    return SP.split_random(V.preds(spark, sf).select("id"), "id", 9002)
 
 
 @query("split_future_holdout", f"""
   with e as (select c.c_custkey as id, x.term_date from customer c left join exits x on x.entity_id = c.c_custkey),
   late as (select id from e where term_date > date '2001-06-30'),
-  act as (select id from (select id, row_number() over (order by {_md5('id', 21323)}) as rn from e where term_date is null) q
+  act as (select id from (select id, row_number() over (order by {_md5('id', 9003)}) as rn from e where term_date is null) q
     where rn <= (select count(*) from late))
   select id, term_date, case when id in (select id from late) or id in (select id from act) then 'test' else 'train' end
     as split from e""", "exits", "term_date")
 def split_future_holdout(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
     e = c.join(V.exits(spark, sf).select(F.col("entity_id").alias("id"), "term_date"), "id", "left")
-    return SP.split_future_holdout(e, "id", "term_date", "2001-06-30", 21323)
+    return SP.split_future_holdout(e, "id", "term_date", "2001-06-30", 9003)
 
 
 @query("split_by_ids", """
@@ -69,10 +69,10 @@ def class_weights(spark, sf):
 
 
 @query("undersample", f"""
-  with m as (select id, y, row_number() over (partition by y order by {_md5('id', 43434)}) as rn from preds)
+  with m as (select id, y, row_number() over (partition by y order by {_md5('id', 9004)}) as rn from preds)
   select id, y from m where y = 0 or rn <= (select floor(count(*) / 0.8) from preds where y = 0)""", "preds")
 def undersample(spark, sf):
-    return SP.undersample(V.preds(spark, sf).drop("p"), "id", "y", 0, 43434)
+    return SP.undersample(V.preds(spark, sf).drop("p"), "id", "y", 0, 9004)
 
 
 def _adasyn_input(spark, sf):
@@ -96,7 +96,7 @@ def adasyn_allocation(spark, sf):
 
 @query("adasyn_rows")
 def adasyn_rows(spark, sf):
-    return SP.adasyn_rows(_adasyn_input(spark, sf), "id", "v", "y", 1, 32)
+    return SP.adasyn_rows(_adasyn_input(spark, sf), "id", "v", "y", 1, 9006)
 
 
 # --- evaluation -------------------------------------------------------------------------

@@ -24,7 +24,7 @@ def _forest(df):
 
 @query("rf_classifier")
 def rf_classifier(spark, sf):
-    parts = materialize(SP.split_stratified(V.vectors(spark, sf), "id", "y", 20112), "split")
+    parts = materialize(SP.split_stratified(V.vectors(spark, sf), "id", "y", 9001), "split")
     model = M.fit_forest(parts.filter("split = 'train'"), "v", "y", trees=20)
     return M.score(model, parts, "v").select("id", "split", "y", "p", "cls")
 
@@ -49,7 +49,7 @@ def node_classifier(spark, sf):
     m = G.neighbour_means(nodes, vector_edges(spark, sf), "id", NODE_FEATURES)
     cols = [c for c in m.columns if c != "id"]
     full = materialize(m.join(nodes.select("id", "y"), "id").withColumn("v", M.feature_array(cols)), "nodes")
-    train = SP.split_random(full.select("id", "y", "v"), "id", 3212).filter("split = 'train'")
+    train = SP.split_random(full.select("id", "y", "v"), "id", 9002).filter("split = 'train'")
     return M.score(M.fit_logistic(train, "v", "y"), full.select("id", "y", "v"), "v").drop("v")
 
 

@@ -493,10 +493,10 @@ def seeded_shuffle_rank(spark, sf):
 @query("sample_n", """
   select entity_id from (select distinct entity_id from panel
     where entity_id not in (select entity_id from exits)) a
-  order by md5(concat(cast(entity_id as varchar), ':21323')), entity_id limit 272""", "panel exits")
+  order by md5(concat(cast(entity_id as varchar), ':9003')), entity_id limit 250""", "panel exits")
 def sample_n(spark, sf):
     actives = Q.drop_ids(V.panel(spark, sf).select("entity_id").distinct(), V.exits(spark, sf), "entity_id")
-    return actives.orderBy(S.hash_order("entity_id", 21323), "entity_id").limit(272)
+    return actives.orderBy(S.hash_order("entity_id", 9003), "entity_id").limit(250)
 
 
 # --- unions -----------------------------------------------------------------------------

@@ -58,8 +58,8 @@ def similarity_by_month(spark, sf):
 
 # --- similarity frame -------------------------------------------------------------------
 
-_DIST_EDGES = [-1000, 0, 2500, 5000, 11905]
-_DIST_LABELS = ["dist_Q1", "dist_Q2", "dist_Q3", "dist_Q4"]
+_DIST_EDGES = [-1000, 0, 2000, 6000, 12000]
+_DIST_LABELS = ["here", "near", "far", "remote"]
 
 _GROUP_FILL = """
   {p}1 as (select e.* replace (coalesce(e.{c}, s.m) as {c}) from {src} e left join
@@ -87,8 +87,8 @@ _SIMFRAME_SQL = TB.ENTITY_SQL + rf""",
   gp as (select e.*, case when nn.k <= 20 then 'Other' else e.n_name end as place from entity e left join nn on nn.nm = e.n_name),
   {_median_fill('ds', 'distance', 'gp')}, {_median_fill('rs', 'recent_score', 'ds2')},
   {_MODE_FILL.format(src='rs2').strip()},
-  kept as (select *, case when distance < -1000 then null when distance <= 0 then 'dist_Q1' when distance <= 2500 then 'dist_Q2'
-      when distance <= 5000 then 'dist_Q3' when distance <= 11905 then 'dist_Q4' end as dist_bin
+  kept as (select *, case when distance < -1000 then null when distance <= 0 then 'here' when distance <= 2000 then 'near'
+      when distance <= 6000 then 'far' when distance <= 12000 then 'remote' end as dist_bin
     from mo2 where term_reason is distinct from 'Involuntary'),
   words as (select entity_id, unnest(regexp_extract_all(lower(concat_ws(' ', replace(unit, ' ', ''), replace(place, ' ', ''),
       replace(recent_rating, ' ', ''), coalesce(dist_bin, 'nan'))), '{_WORDS_RE}')) as term from kept),

@@ -86,10 +86,10 @@ def _rating_lists(spark, sf):
         return lookups.WideRatings(w.filter(F.col("dept") == name), "entity_id", cols, **kw)
 
     return [
-        dept("BUILDING", drop_rows=either("New comer", "0")),
-        dept("MACHINERY", drop_cells={"r_2000": ["1B/2B"]}),
-        dept("FURNITURE", drop_rows=either("New to role/org (<3 months)", "No rated"),
-             fixes={"r_2000": [("2a", "2A"), ("3a", "3A")]}),
+        dept("BUILDING", drop_rows=either("late", "0")),
+        dept("MACHINERY", drop_cells={"r_2000": ["split"]}),
+        dept("FURNITURE", drop_rows=either("early", "open"),
+             fixes={"r_2000": [("k2", "K2"), ("k3", "K3")]}),
         dept("HOUSEHOLD"),
     ]
 
@@ -105,23 +105,23 @@ def _ratings(spark, sf, year):
 _RATINGS_SQL = """
   rw as (select * from ratings_wide where r_2000 is not null and r_2001 is not null),
   ra as (select distinct entity_id, rating as rating_2000 from (
-      select entity_id, rating from ratings_main where yr = 2000 and rating is distinct from 'Newcomer'
+      select entity_id, rating from ratings_main where yr = 2000 and rating is distinct from 'joined'
       union all select entity_id, r_2000 from rw where dept = 'BUILDING'
-        and r_2000 not in ('New comer', '0') and r_2001 not in ('New comer', '0')
-      union all select entity_id, r_2000 from rw where dept = 'MACHINERY' and r_2000 <> '1B/2B'
-      union all select entity_id, replace(replace(r_2000, '2a', '2A'), '3a', '3A') from rw where dept = 'FURNITURE'
-        and r_2000 not in ('New to role/org (<3 months)', 'No rated')
-        and r_2001 not in ('New to role/org (<3 months)', 'No rated')
+        and r_2000 not in ('late', '0') and r_2001 not in ('late', '0')
+      union all select entity_id, r_2000 from rw where dept = 'MACHINERY' and r_2000 <> 'split'
+      union all select entity_id, replace(replace(r_2000, 'k2', 'K2'), 'k3', 'K3') from rw where dept = 'FURNITURE'
+        and r_2000 not in ('early', 'open')
+        and r_2001 not in ('early', 'open')
       union all select entity_id, r_2000 from rw where dept = 'HOUSEHOLD') x),
   rb as (select distinct entity_id, rating as rating_2001 from (
-      select entity_id, rating from ratings_main where yr = 2001 and rating <> 'Newcomer'
+      select entity_id, rating from ratings_main where yr = 2001 and rating <> 'joined'
         and entity_id not in (3, 5, 8, 13)
       union all select entity_id, r_2001 from rw where dept = 'BUILDING'
-        and r_2000 not in ('New comer', '0') and r_2001 not in ('New comer', '0')
+        and r_2000 not in ('late', '0') and r_2001 not in ('late', '0')
       union all select entity_id, r_2001 from rw where dept = 'MACHINERY'
       union all select entity_id, r_2001 from rw where dept = 'FURNITURE'
-        and r_2000 not in ('New to role/org (<3 months)', 'No rated')
-        and r_2001 not in ('New to role/org (<3 months)', 'No rated')
+        and r_2000 not in ('early', 'open')
+        and r_2001 not in ('early', 'open')
       union all select entity_id, r_2001 from rw where dept = 'HOUSEHOLD') x)"""
 
 

@@ -263,7 +263,7 @@ def title_group(c):
 
 _cte("ratings_main", """
   select o_custkey as entity_id, cast(year(o_orderdate) as int) as yr,
-    case min(substr(o_orderpriority, 1, 1)) when '1' then 'Newcomer' when '2' then null
+    case min(substr(o_orderpriority, 1, 1)) when '1' then 'joined' when '2' then null
       else concat(min(substr(o_orderpriority, 1, 1)), 'A') end as rating
   from orders group by o_custkey, year(o_orderdate)""")
 
@@ -272,27 +272,27 @@ def ratings_main(spark: SparkSession, sf: str) -> DataFrame:
     best = F.min(F.substring("o_orderpriority", 1, 1))
     g = table(spark, sf, "orders").groupBy(
         F.col("o_custkey").alias("entity_id"), F.year("o_orderdate").alias("yr")).agg(best.alias("b"))
-    rating = F.when(F.col("b") == "1", "Newcomer").when(F.col("b") != "2", F.concat("b", F.lit("A")))
+    rating = F.when(F.col("b") == "1", "joined").when(F.col("b") != "2", F.concat("b", F.lit("A")))
     return g.select("entity_id", "yr", rating.alias("rating"))
 
 
 _cte("ratings_wide", """
   select c_custkey as entity_id, c_mktsegment as dept,
-    case c_nationkey when 0 then 'New comer' when 1 then '0' when 2 then '1B/2B' when 3 then 'No rated'
-      when 4 then '2a' when 5 then '3a' when 6 then null else '2B' end as r_2000,
-    case when c_acctbal < 0 then 'New comer' when c_acctbal < 1000 then null
-      when c_acctbal < 2000 then 'New to role/org (<3 months)' else '1A' end as r_2001
+    case c_nationkey when 0 then 'late' when 1 then '0' when 2 then 'split' when 3 then 'open'
+      when 4 then 'k2' when 5 then 'k3' when 6 then null else 'G2' end as r_2000,
+    case when c_acctbal < 0 then 'late' when c_acctbal < 1000 then null
+      when c_acctbal < 2000 then 'early' else 'G1' end as r_2001
   from customer""")
 
 
 def ratings_wide(spark: SparkSession, sf: str) -> DataFrame:
     n, b = F.col("c_nationkey"), F.col("c_acctbal")
     r_2000 = (
-        F.when(n == 0, "New comer").when(n == 1, "0").when(n == 2, "1B/2B").when(n == 3, "No rated")
-        .when(n == 4, "2a").when(n == 5, "3a").when(n == 6, F.lit(None)).otherwise("2B"))
+        F.when(n == 0, "late").when(n == 1, "0").when(n == 2, "split").when(n == 3, "open")
+        .when(n == 4, "k2").when(n == 5, "k3").when(n == 6, F.lit(None)).otherwise("G2"))
     r_2001 = (
-        F.when(b < 0, "New comer").when(b < 1000, F.lit(None))
-        .when(b < 2000, "New to role/org (<3 months)").otherwise("1A"))
+        F.when(b < 0, "late").when(b < 1000, F.lit(None))
+        .when(b < 2000, "early").otherwise("G1"))
     return table(spark, sf, "customer").select(
         F.col("c_custkey").alias("entity_id"), F.col("c_mktsegment").alias("dept"),
         r_2000.alias("r_2000"), r_2001.alias("r_2001"))

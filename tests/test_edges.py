@@ -247,7 +247,7 @@ def test_sentinels_and_fills(spark):
 
 
 def test_rating_lists(spark):
-    main = spark.createDataFrame([("a", 2017, "1A"), ("b", 2017, "Newcomer"), ("c", 2017, None)], "id string, y int, r string")
+    main = spark.createDataFrame([("a", 2017, "1A"), ("b", 2017, "joined"), ("c", 2017, None)], "id string, y int, r string")
     w = lookups.WideRatings(
         spark.createDataFrame([("d", "2a", "1B"), ("e", None, "1B"), ("f", "0", "1B")], "k string, y7 string, y8 string"),
         "k", {2017: "y7", 2018: "y8"}, drop_rows={"y7": ["0"]}, fixes={"y7": [("2a", "2A")]})
