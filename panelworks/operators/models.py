@@ -40,7 +40,7 @@ def fit_logistic(df: DataFrame, v: str, label: str, reg: float = 0.01):
     return lr.fit(_ready(with_class_weights(df, label), v))
 
 
-def fit_boosted(df: DataFrame, v: str, target: str, rounds: int = 20, depth: int = 3, seed: int = 1):
+def fit_boosted(df: DataFrame, v: str, target: str, rounds: int = 100, depth: int = 3, seed: int = 1):
     return GBTRegressor(labelCol=target, maxIter=rounds, maxDepth=depth, seed=seed).fit(_ready(df, v))
 
 

@@ -19,13 +19,19 @@ WIDTH = 64
 
 
 def _forest(df):
-    return M.fit_forest(df, "v", "y", trees=20, depth=5)
+    return M.fit_forest(df, "v", "y")
+
+
+def _held_out(spark, sf):
+    """(model of the training rows, held-out rows)."""
+    parts = materialize(SP.split_stratified(V.vectors(spark, sf), "id", "y", 9001), "split")
+    return _forest(parts.filter("split = 'train'")), parts.filter("split = 'test'")
 
 
 @query("rf_classifier")
 def rf_classifier(spark, sf):
     parts = materialize(SP.split_stratified(V.vectors(spark, sf), "id", "y", 9001), "split")
-    model = M.fit_forest(parts.filter("split = 'train'"), "v", "y", trees=20)
+    model = _forest(parts.filter("split = 'train'"))
     return M.score(model, parts, "v").select("id", "split", "y", "p", "cls")
 
 
@@ -39,8 +45,10 @@ def cross_validate(spark, sf):
 def days_to_exit_regression(spark, sf):
     cols = ["band", "n_level", "n_function", "n_band", "downward_levels", "upward_levels"]
     f = checkpoint_table(spark, sf).filter("churn = 1").withColumn("v", M.feature_array(cols))
-    rows = materialize(f.select("entity_id", "days_to_exit", "v"), "exits")
-    return M.predict(M.fit_boosted(rows, "v", "days_to_exit"), rows, "v").drop("v")
+    parts = SP.split_random(f.select("entity_id", "days_to_exit", "v"), "entity_id", 9007)
+    parts = materialize(parts, "exits")
+    model = M.fit_boosted(parts.filter("split = 'train'"), "v", "days_to_exit")
+    return M.predict(model, parts, "v").select("entity_id", "days_to_exit", "split", "prediction")
 
 
 @query("node_classifier")
@@ -67,11 +75,9 @@ def permutation_importance(spark, sf):
 
 @query("partial_dependence")
 def partial_dependence(spark, sf):
-    df = V.vectors(spark, sf)
-    return I.partial_dependence(_forest(df), df, "id", "v", [0])
+    return I.partial_dependence(*_held_out(spark, sf), "id", "v", [0])
 
 
 @query("partial_dependence_2d")
 def partial_dependence_2d(spark, sf):
-    df = V.vectors(spark, sf)
-    return I.partial_dependence(_forest(df), df, "id", "v", [0, 1])
+    return I.partial_dependence(*_held_out(spark, sf), "id", "v", [0, 1])
