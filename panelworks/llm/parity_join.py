@@ -11,8 +11,8 @@ group of near copies) give only the star around their smallest set. A set with N
 limit D needs its first D + 1 keys only, in any common order (prefix filter): with the crowded keys
 last, most sets need none of those. What is then left, pairs of different components in a common
 crowded key, is compared by dense sketches in cells of bounded size. Possible pairs are verified on
-exact sets, the best ones of each set first, the others if their ends are still in different
-components. So no link between different sets is lost: a skipped pair has both ends in one component.
+exact sets, those of the stars before the others, the best of each set first, and only while their
+ends are in different components. So no link between different sets is lost: a skipped pair has both ends in one component.
 """
 
 from __future__ import annotations
@@ -405,6 +405,19 @@ def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in flushed(pairs)], ["a_rep", "b_rep"])
 
 
+def _joined(pairs: DataFrame, found: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """``found`` with the links among ``pairs``: the best pair of every set first, then all that are still apart."""
+    for some in (_best, lambda p: p.select("a_rep", "b_rep")):
+        rest = materialize(_apart(pairs, found), "rest")
+        if rest.isEmpty():
+            break
+        links = _verified(some(rest), docs, classes, words, percent)
+        if not links.isEmpty():
+            settled = found.select(F.col("node").alias("src"), F.col("component").alias("dst"))
+            found = materialize(components(settled.unionByName(links)), "found")
+    return found
+
+
 def _hidden(met: DataFrame, classes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """(a_rep, b_rep): pairs in a crowded key that both ends need, in different components so far."""
     n = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -459,24 +472,19 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     a, b = _side(classes, "a"), _side(classes, "b")
     pairs = met.filter(F.col("bl").isNotNull()).select("ah", "al", "bh", "bl").distinct()
     pairs = _possible(pairs.join(a, ["ah", "al"]).join(b, ["bh", "bl"]), percent)
-    links = _verified(_best(pairs), docs, classes, words, percent)
-    found = materialize(components(links), "found")
-
+    found = spark.createDataFrame([], "node bigint, component bigint")
+    found = _joined(pairs, found, docs, classes, words, percent)
     hidden = _possible(_hidden(met, classes, found, percent).join(a, "a_rep").join(b, "b_rep"), percent)
-    rest = materialize(_apart(pairs.unionByName(hidden).distinct(), found), "rest")
-    for some in (_best, lambda p: p.select("a_rep", "b_rep")):
-        more = _verified(some(rest), docs, classes, words, percent)
-        settled = found.select(F.col("node").alias("src"), F.col("component").alias("dst"))
-        found = materialize(components(settled.unionByName(more)), "found")
-        rest = materialize(_apart(rest, found), "rest")
+    found = _joined(hidden, found, docs, classes, words, percent)
 
     reps = described.join(classes.select("ch", "cl", "rep"), ["ch", "cl"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep"))
     reps = materialize(reps.withColumn("rep", F.coalesce("rep", "doc_id")), "reps")
     twice = reps.filter("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x <> y")
     several = reps.join(twice, "doc_id", "left_semi").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
-    settled = found.select(F.col("node").alias("src"), F.col("component").alias("dst"))
-    final = components(settled.unionByName(several))
-    named = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left")
+    if not several.isEmpty():
+        settled = found.select(F.col("node").alias("src"), F.col("component").alias("dst"))
+        found = components(settled.unionByName(several))
+    named = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
     return named.select("doc_id", "n_shingles", own.alias("component_id"))
