@@ -13,7 +13,7 @@ from panelworks.workload import views as V
 from panelworks.workload.graphs import NODE_FEATURES, node_table
 from panelworks.workload.registry import query
 from panelworks.workload.tables import checkpoint_table
-from panelworks.workload.vectors import vector_edges
+from panelworks.workload.vectors import grouped_edges
 
 WIDTH = 64
 
@@ -54,7 +54,8 @@ def days_to_exit_regression(spark, sf):
 @query("node_classifier")
 def node_classifier(spark, sf):
     nodes = node_table(spark, sf)
-    m = G.neighbour_means(nodes, vector_edges(spark, sf), "id", NODE_FEATURES)
+    edges, members = grouped_edges(spark, sf)
+    m = G.neighbour_means(nodes, edges, "id", NODE_FEATURES, members=members)
     cols = [c for c in m.columns if c != "id"]
     full = materialize(m.join(nodes.select("id", "y"), "id").withColumn("v", M.feature_array(cols)), "nodes")
     train = SP.split_random(full.select("id", "y", "v"), "id", 9002).filter("split = 'train'")

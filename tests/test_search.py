@@ -1,5 +1,6 @@
 """Search, graph, resampling and models against brute force and invariants."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -323,3 +324,33 @@ def test_degrees_count_every_copy(spark):
             want[j] += 1
     assert {r["id"]: r["degree"] for r in graph.grouped_degree(df, edges, members, "id").collect()} == want
     assert graph.grouped_counts(df, edges, members, "id").first().asDict() == {"n_nodes": len(rows), "n_edges": sum(want.values()) // 2}
+
+
+@pytest.mark.parametrize("cells", [(1024, 256), (4, 3)])
+def test_samples_take_every_copy(spark, monkeypatch, cells):
+    """Against all pairs: groups of 1 to 50 equal vectors, some near another, in one list and in many."""
+    monkeypatch.setattr(graph, "LIST_IDS", cells[0])
+    monkeypatch.setattr(graph, "SOURCE_ROWS", cells[1])
+    base = [([1.0, 0.0, 0.0], 3), ([1.0, 0.1, 0.0], 1), ([0.0, 1.0, 0.0], 50), ([0.1, 1.0, 0.2], 7), ([0.1, 1.0, 0.3], 1),
+            ([0.0, 0.0, 2.0], 1), ([0.0, 0.0, 0.0], 2)]
+    rows = [(i, v) for i, v in enumerate(v for v, n in base for _ in range(n))]
+    random.Random(3).shuffle(rows)
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    edges, members = nearest.dense_pairs(df, "id", "v", 0.8, links=False), nearest.vector_members(df, "id", "v")
+    s = cosines(np.array([v for _, v in sorted(rows)]))
+    near = {i: [j for j in range(len(rows)) if j != i and s[i, j] > 0.8] for i in range(len(rows))}
+
+    def sample(k, seed):
+        def rank(i, j):
+            return hashlib.md5(f"{i}-{j}:{seed}".encode()).hexdigest(), j
+
+        return {i: sorted(n, key=lambda j: rank(i, j))[:k] for i, n in near.items()}
+
+    one, two = sample(20, 1), sample(10, 2)
+    got = sorted(map(tuple, graph.two_hop_sample(edges, members=members).collect()))
+    assert got == sorted((i, j, k) for i in one for j in one[i] for k in two[j])
+    nodes = df.select("id", F.col("id").cast("double").alias("x"))
+    for m in graph.neighbour_means(nodes, edges, "id", ["x"], members=members).collect():
+        mean = [sum(two[j]) / len(two[j]) for j in one[m.id]]
+        assert m.x_hop1 == pytest.approx(np.mean(one[m.id]) if one[m.id] else 0)
+        assert m.x_hop2 == pytest.approx(np.mean(mean) if mean else 0)
