@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelworks.llm import bpe, decontaminate, language_id, line_dedup, parity_join
 from panelworks.llm.queries import WORD_BPE
+from panelworks.operators import position
 from panelworks.session import fresh_path, materialize
 
 #: A text of this or a larger mean posterior has a language; an even mix of two languages has 0.5.
@@ -41,19 +43,42 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return kept.select(*[made[c].alias(c) if made.get(c) is not None else F.col(c) for c in docs.columns])
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, n), (doc_id = n, text): a number of its own for each document_key with an id.
+
+    It rises with the id, then the text's hash. Ids that hold one text each are their own numbers.
+    """
+    docs = docs.filter("doc_id is not null")
+    keys = materialize(docs.select(line_dedup.document_key().alias("key")).distinct(), "keys")
+    if keys.groupBy("key.id").count().filter("count > 1").isEmpty():
+        return keys.select("key", F.col("key.id").cast("bigint").alias("n")), docs.select("doc_id", "text")
+    placed = position.range_segments(keys.select("key.id", "key.of"), "id", "of")
+    placed = position.with_position(placed, ["id", "of"], F.col("_range"), name="n")
+    placed = materialize(placed.select(F.struct("id", "of").alias("key"), F.col("n").cast("bigint").alias("n")), "numbered")
+    texts = docs.select(line_dedup.document_key().alias("key"), "text").join(placed, "key")
+    return placed, materialize(texts.select(F.col("n").alias("doc_id"), "text"), "texts")
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents the one with the smallest id stays, of rows that repeat an id one.
+    """Of linked documents the one with the smallest id stays, of rows that repeat an id and its text one.
 
-    Rows without an id stay.
+    A document is an id with its text. Among texts of one id the smallest hash counts as the smallest
+    id, among rows that repeat both the smallest other columns. Rows without an id stay.
     """
-    classes = materialize(parity_join.jaccard_components(docs), "classes")
-    others = materialize(classes.filter("doc_id <> component_id").select("doc_id").distinct(), "others")
-    repeated = materialize(
-        classes.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
-    kept = docs.join(others, "doc_id", "left_anti")
-    single = kept.join(repeated, "doc_id", "left_anti")
-    first = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(first).select(*docs.columns)
+    numbered, texts = _numbered(docs)
+    classes = materialize(parity_join.jaccard_components(texts), "classes")
+    others = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("n")).distinct()
+    others = materialize(numbered.join(others, "n", "left_semi").select(F.col("key").alias("_other")), "others")
+    repeated = classes.groupBy(F.col("doc_id").alias("n")).count().filter("count > 1")
+    repeated = materialize(numbered.join(repeated, "n", "left_semi").select(F.col("key").alias("_repeated")), "repeated")
+    kept = docs.join(others, line_dedup.document_key() == F.col("_other"), "left_anti")
+    again = line_dedup.document_key() == F.col("_repeated")
+    single = kept.join(repeated, again, "left_anti")
+    rest = [F.col(f"`{f.name}`") for f in docs.schema.fields
+            if f.name not in ("doc_id", "text") and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    own = Window.partitionBy("doc_id", "text").orderBy(*rest or [F.lit(0)])
+    first = kept.join(repeated, again, "left_semi").withColumn("_place", F.row_number().over(own)).filter("_place = 1")
+    return single.unionByName(first.drop("_place")).select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,6 +64,11 @@ def find_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> Dat
     read. Null and empty texts on either side match nothing; a text of fewer than five words is one
     shingle and matches only its like. Rows that repeat an id and its text count once. No matches: no rows.
     """
+    return _found(docs, items, percent).drop("doc")
+
+
+def _found(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """``find_items`` with the key ``doc`` of the document beside its id."""
     items = items.select(F.struct(F.col("item_id").alias("id"), F.xxhash64("text").alias("of")).alias("item"), words_of("text").alias("_words"))
     items = items.filter(F.size("_words") > 0).dropDuplicates(["item"])
     whole = materialize(items.select("item", _shingles("_words").alias("wanted")), "items")
@@ -89,13 +94,16 @@ def _verified(docs: DataFrame, candidates: DataFrame, items: DataFrame, percent:
     held = texts.select("doc", words_of("text").alias("_words")).select("doc", _shingles("_words").alias("held"))
     met = candidates.join(held, "doc").join(items, "item")
     counted = met.select(
-        F.col("doc.id").alias("doc_id"), F.col("item.id").alias("item_id"), F.size("wanted").cast("bigint").alias("n_item"),
+        "doc", F.col("doc.id").alias("doc_id"), F.col("item.id").alias("item_id"), F.size("wanted").cast("bigint").alias("n_item"),
         F.size(F.array_intersect("wanted", "held")).cast("bigint").alias("n_shared"))
     kept = counted.filter(F.col("n_shared") * 100 >= F.col("n_item") * percent)
     return kept.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """All rows and columns of the documents that hold no item."""
-    leaks = find_items(docs, items, percent).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(materialize(leaks, "leaks"), F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    """All rows and columns of the documents that hold no item.
+
+    A document is an id with its text: other texts of a repeated or null id stay.
+    """
+    leaks = _found(docs, items, percent).select(F.col("doc").alias("_leak")).distinct()
+    return docs.join(materialize(leaks, "leaks"), document_key() == F.col("_leak"), "left_anti")

@@ -8,7 +8,7 @@ from test_near_duplicates import brute_components, brute_leaks, brute_runs
 from test_tokens import brute_bpe
 
 import corpus_pipeline
-from panelworks.llm import language_id
+from panelworks.llm import decontaminate, language_id
 from panelworks.session import fresh_path
 
 SF = "/root/testdata/sf0.001"
@@ -74,3 +74,19 @@ def test_stages_take_odd_rows_and_keep_columns(spark):
 def test_stages_take_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty_documents(spark), SF).count() == 0
+
+
+def test_texts_of_a_repeated_or_null_id_stand_alone(spark):
+    """A leak or a near duplicate takes its own text only, whatever other rows have its id."""
+    item = prose(1, 40)
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, item), (None, prose(2, 40)), (7, prose(3, 40)), (7, item), (8, prose(4, 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = decontaminate.clean_documents(docs, items)
+    assert sorted(map(tuple, clean.collect()), key=repr) == sorted((r for r in rows if r[1] != item), key=repr)
+
+    a, b, c = prose(5, 60), prose(6, 60), prose(7, 60)
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "z"), (2, b, "y"), (2, c, "x"), (3, b, "x"), (4, c + " more", "x"), (None, a, "x"), (None, b, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    kept = sorted(map(tuple, corpus_pipeline.one_of_each_group(spark, docs, SF).collect()), key=repr)
+    assert kept == sorted([(1, a, "x"), (2, b, "y"), (2, c, "x"), (None, a, "x"), (None, b, "x")], key=repr)
