@@ -47,7 +47,8 @@ def vocabulary(spark, sf):
     return TX.vocabulary(TX.term_counts(d, "doc_id", "text"))
 
 
-@query("cosine_sparse_pairs", TFIDF_SQL + """,
+def _sparse_sql(threshold: float) -> str:
+    return TFIDF_SQL + f""",
   lim as (select min(n_chars) as lo, max(n_chars) as hi from documents where doc_id in (select id from tf)),
   mixed as (select * from tfidf union all
     select doc_id, '#n_chars', cast(n_chars - lo as double) / (hi - lo) from documents, lim
@@ -59,12 +60,25 @@ def vocabulary(spark, sf):
   rep as (select id, min(id) over (partition by s) as rep from sig),
   one as (select vec.* from vec join rep on vec.id = rep.id and rep.id = rep.rep),
   hit as (select a.id as src, b.id as dst, sum(a.w * b.w) as sim from one a join one b
-    on a.term = b.term and a.id < b.id group by a.id, b.id having sum(a.w * b.w) > 0.8)
+    on a.term = b.term and a.id < b.id group by a.id, b.id having sum(a.w * b.w) > {threshold})
   select src, dst, round(sim, 6) as sim from hit
-  union all select rep, id, 1.0 :: double from rep where id <> rep""")
-def cosine_sparse_pairs(spark, sf):
+  union all select rep, id, 1.0 :: double from rep where id <> rep"""
+
+
+def _sparse_pairs(spark, sf, threshold: float):
     text = document_vectors(spark, sf)
     n = table(spark, sf, "documents").filter(has_token("text")).select(
         F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("n_chars"))
     vec = TX.append_numbers(text, n, "id", ["n_chars"])
-    return SIM.sparse_pairs(vec, "id", 0.8).withColumn("sim", F.round("sim", 6))
+    return SIM.sparse_pairs(vec, "id", threshold).withColumn("sim", F.round("sim", 6))
+
+
+@query("cosine_sparse_pairs", _sparse_sql(0.8))
+def cosine_sparse_pairs(spark, sf):
+    return _sparse_pairs(spark, sf, 0.8)
+
+
+# the threshold at which the workload cuts its similarity edges
+@query("cosine_sparse_edges", _sparse_sql(0.5))
+def cosine_sparse_edges(spark, sf):
+    return _sparse_pairs(spark, sf, 0.5)
