@@ -10,7 +10,8 @@ from panelworks.operators import history as H
 from panelworks.operators import select as SEL
 from panelworks.plans import frames
 from panelworks.plans import snapshots as SN
-from panelworks.session import materialize
+from panelworks.session import fresh_path, materialize
+from panelworks.sources import files
 from panelworks.workload import tables as TB
 from panelworks.workload import views as V
 from panelworks.workload.features import FUNCTIONS, LEVELS
@@ -43,19 +44,44 @@ _MONTH_SQL = r"""
   group by a.snap_date, a.entity_id, b.entity_id having sum(a.w * b.w) > 0.2"""
 
 
+def _bought(spark, sf):
+    o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
+    return o.join(li, o["o_orderkey"] == li["l_orderkey"]).select(
+        F.col("o_custkey").alias("entity_id"), F.col("o_orderdate").cast("date").alias("day"),
+        F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("term"))
+
+
 @query("similarity_by_month", _MONTH_SQL, "panel", "snap_date")
 def similarity_by_month(spark, sf):
     p = V.panel(spark, sf).withColumn("words", S.bag_of_words(["unit", "level"]))
     latest = SN.latest_by_month(p, "entity_id", "snap_date", "row_key", ["words"], FIRST, LAST)
-    o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
-    bought = o.join(li, o["o_orderkey"] == li["l_orderkey"]).select(
-        F.col("o_custkey").alias("entity_id"), F.col("o_orderdate").cast("date").alias("day"),
-        F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("term"))
-    history = SN.history_by_month(bought, "entity_id", "day", "term", FIRST, LAST)
+    history = SN.history_by_month(_bought(spark, sf), "entity_id", "day", "term", FIRST, LAST)
     pairs = SN.similarity_by_month(latest, history, "entity_id", "words", [], 0.2)
     return pairs.withColumn("sim", F.round("sim", 6))
 
 
+_AMOUNTS, _VALUES = ["band", "amount", "balance"], ["level", "function", "band", "unit", "manager_id"]
+MONTH_NUMBERS = [*_AMOUNTS, *[f"n_{c}" for c in _VALUES], "service_days"]
+
+
+# no SQL: all pairs of every month of whole tables
+@query("similarity_all_months")
+def similarity_all_months(spark, sf):
+    """Pairs of every month that the panel spans, from words, history and scaled numbers, in a sink by month."""
+    p = V.panel(spark, sf).withColumn("words", S.bag_of_words(["unit", "level"]))
+    ends = p.agg(F.trunc(F.min("snap_date"), "month"), F.trunc(F.max("snap_date"), "month")).first()
+    latest = SN.latest_by_month(p, "entity_id", "snap_date", "row_key", ["words", *_AMOUNTS], *ends)
+    counts = SN.distinct_by_month(p, "entity_id", "snap_date", _VALUES, *ends)
+    since = p.groupBy("entity_id").agg(F.min("snap_date").alias("_since"))
+    latest = latest.join(counts, ["snap_date", "entity_id"]).join(since, "entity_id").withColumn(
+        "service_days", F.datediff("snap_date", "_since"))
+    history = SN.history_by_month(_bought(spark, sf), "entity_id", "day", "term", *ends)
+    pairs = SN.similarity_by_month(materialize(latest, "latest"), history, "entity_id", "words", MONTH_NUMBERS, 0.2)
+    pairs = materialize(pairs.withColumn("sim", F.round("sim", 6)), "pairs")
+    path = files.write_partitioned(pairs, fresh_path(spark, "similarity"), ["snap_date"])
+    return files.read_partitioned(spark, path, pairs.schema)
+
+
 # --- similarity frame -------------------------------------------------------------------
 
 _DIST_EDGES = [-1000, 0, 2000, 6000, 12000]
