@@ -70,3 +70,37 @@ FROM documents d LEFT JOIN (
     string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (gone.pos IS NULL) AS text
   FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.pos = l.pos GROUP BY l.doc_id) k ON k.doc_id = d.doc_id
 """
+
+#: A node is the list of its turns; crc32 goes bit by bit over the digits of the number.
+PREFIX_TRIE = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS own FROM t GROUP BY conv_id),
+c AS (
+  SELECT conv_id, own, CAST(xor(list_reduce(list_concat([4294967295], flatten(list_transform(
+      string_split(CAST(conv_id AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+      lambda x, y: xor(xor(x, y) >> 1, 3988292384 * (xor(x, y) & 1))), 4294967295) AS BIGINT) % 4 AS h
+  FROM l),
+r AS (
+  SELECT c.conv_id, list_concat(coalesce(b.own[1:c.h], []), c.own[c.h + 1:]) AS path
+  FROM c LEFT JOIN l b ON b.conv_id = c.conv_id - c.conv_id % 20),
+m AS (
+  SELECT conv_id, d AS depth, path[1:d] AS node, len(path) = d AS ending
+  FROM (SELECT *, unnest(range(0, len(path) + 1)) AS d FROM r)),
+n AS (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ending), '') AS ends
+  FROM m GROUP BY node, depth),
+k AS (SELECT node[1:depth - 1] AS node, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+v AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children,
+    CASE WHEN n.depth > 0 THEN (n_convs - 1) * len(regexp_extract_all(n.node[-1].text, '[^\x20\x09-\x0D]+')) ELSE 0 END AS saved
+  FROM n LEFT JOIN k ON k.depth = n.depth AND k.node = n.node),
+s AS (
+  SELECT node[1:a] AS node, a AS depth, CAST(sum(saved) AS BIGINT) AS saved_tokens, count_if(n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS a FROM v) GROUP BY ALL)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+  s.saved_tokens, sha256(v.ends) AS ends_sha256
+FROM v JOIN s ON s.depth = v.depth AND s.node = v.node
+LEFT JOIN n p ON p.depth = v.depth - 1 AND p.node = v.node[1:v.depth - 1]
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelworks.llm import bpe, decontaminate, language_id, line_dedup, oracles, order_minhash, parity_join, quality, seekable, token_counts, url_rules
+from panelworks.llm import bpe, decontaminate, language_id, line_dedup, oracles, order_minhash, packing, parity_join, prefix_trie, quality, seekable, token_counts, url_rules, whitening
 from panelworks.session import fresh_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -73,10 +73,24 @@ def op10_order_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return order_minhash.neighbour_fingerprints(_read(spark, sf, "documents"))
 
 
+def op11_bit_sliced_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf, "embeddings"))
+
+
+def op12_dominance_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_documents(_read(spark, sf, "documents"), WORD_BPE)
+
+
+def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_read(spark, sf, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_crf_language, op2_parity_join, op3_seekable_frames, op4_repeated_line_runs, op5_speculative_bpe, op6_url_rules, op7_containment_search, op8_fourier_quality, op9_token_counts, op10_order_minhash)}
+    f.__name__: f for f in (op1_crf_language, op2_parity_join, op3_seekable_frames, op4_repeated_line_runs, op5_speculative_bpe, op6_url_rules, op7_containment_search, op8_fourier_quality, op9_token_counts, op10_order_minhash,
+                            op11_bit_sliced_whitening, op12_dominance_packing, op13_prefix_trie)}
 ORACLE_SQL: dict[str, str] = {
     "op2_parity_join": oracles.PARITY_JOIN,
     "op4_repeated_line_runs": oracles.LINE_DEDUP,
     "op7_containment_search": oracles.CONTAINMENT,
+    "op13_prefix_trie": oracles.PREFIX_TRIE,
 }
