@@ -3,9 +3,10 @@
 Words are runs of letters. A word's features are its n-grams of one to four letters with its bounds
 (so affixes too) and the word itself (the lexicon), hashed into one weight table; transitions between
 the languages of neighbouring words are learned with them. Training sequences are spliced from spans
-of documents of different languages, so switches inside a text are seen; decoding is forward-backward
-over whole texts. Long texts are cut into segments that are joined exactly by products of their
-transition matrices.
+of documents of different languages, so switches inside a text are seen. They are written once, as
+blocks of bounded size; in every round the tasks find the expected counts of their blocks, and the
+driver adds up one gradient per block. Decoding is forward-backward over whole texts. Long texts are
+cut into segments that are joined exactly by products of their transition matrices.
 """
 
 from __future__ import annotations
@@ -21,8 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelworks.llm.textarrays import LETTER, classes, code_points, distinct, lower_table, mix, pieces, runs, span_hashes
+from panelworks.session import materialize
 
 TRAIN_DOCS = 1000  # expected number of training documents, drawn by hash, equally many per language
+TRAIN_CHARS = 4_000_000  # and their expected number of characters at most
+BLOCK_CHARS = 1 << 20
+SLICE = 1 << 20  # numbers in a lattice of a task at once
 BITS, LONGEST_GRAM = 18, 4
 ROUNDS, RATE, DECAY = 30, 0.15, 1e-5
 SPAN, LENGTH, SEED = (4, 24), 48, 11
@@ -98,31 +103,54 @@ def _sequences(words: _Words, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return words.kind[index], label[index]
 
 
-def train(texts: Sequence[str], langs: Sequence[str]) -> Model | None:
-    """A model from whole labelled texts; None without a word. Adam on the likelihood of spliced sequences."""
-    names = sorted(set(langs))
-    words = _Words(texts)
-    if not len(words.kind):
-        return None
-    number, owner, share = words.features()
-    kinds, label = _sequences(words, np.array([names.index(x) for x in langs]))
-    count, k = len(kinds), len(names)
-    params = [np.zeros((1 << BITS, k), np.float32), np.zeros((k, k))]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    gold = np.zeros((k, k))
-    np.add.at(gold, (label[:, :-1].ravel(), label[:, 1:].ravel()), 1)
-    for turn in range(1, ROUNDS + 1):
-        scores = _exp(_type_scores(number, owner, share, params[0]))
-        a = np.exp(params[1] - params[1].max())
-        e = scores[kinds]
-        alpha, beta = np.empty((LENGTH, count, k)), np.ones((LENGTH, count, k))
+_BLOCK = ["number", "owner", "share", "kinds", "label"]
+_BLOCK_TYPES = ["<i4", "<i4", "<f8", "<i4", "<i2"]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], langs: list[str]) -> Iterator[pa.RecordBatch]:
+    """Labelled texts to blocks of training sequences, with the features of their distinct words."""
+    known = {x: k for k, x in enumerate(langs)}
+    texts, lang = [], []
+
+    def made() -> Iterator[pa.RecordBatch]:
+        words = _Words(texts)
+        if not len(words.kind):
+            return
+        number, owner, share = words.features()
+        kinds, label = _sequences(words, np.array(lang))
+        arrays = [number, owner, share, kinds, label]
+        yield pa.RecordBatch.from_arrays([pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in zip(arrays, _BLOCK_TYPES)], _BLOCK)
+
+    for batch in batches:
+        of = batch.column("lang").to_pylist()
+        for first, part, _ in pieces(batch.column("text").to_pylist(), BLOCK_CHARS):
+            if texts and sum(map(len, texts)) + sum(map(len, part)) > BLOCK_CHARS:
+                yield from made()
+                texts, lang = [], []
+            texts += part
+            lang += [known[x] for x in of[first : first + len(part)]]
+    if texts:
+        yield from made()
+
+
+def expectations(kinds: np.ndarray, label: np.ndarray, scores: np.ndarray, switch: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log likelihood of labelled sequences, and expected minus observed counts of (word, language) and of switches."""
+    k, length = scores.shape[1], kinds.shape[1]
+    top, e_all, a = scores.max(axis=1), _exp(scores), np.exp(switch - switch.max())
+    by_type, pairs, likelihood = np.zeros(scores.shape), np.zeros((k, k)), 0.0
+    step = max(1, SLICE // (length * k))
+    for at in range(0, len(kinds), step):
+        x, y = kinds[at : at + step], label[at : at + step]
+        e, count = e_all[x], len(x)
+        alpha, beta = np.empty((length, count, k)), np.ones((length, count, k))
         state = np.ones((count, k))
-        for t in range(LENGTH):
+        for t in range(length):
             state = (state @ a if t else state) * e[:, t]
-            state /= state.sum(axis=1, keepdims=True)
+            total = state.sum(axis=1, keepdims=True)
+            likelihood -= float(np.log(total).sum())
+            state = state / total
             alpha[t] = state
-        pairs = np.zeros((k, k))
-        for t in range(LENGTH - 1, 0, -1):
+        for t in range(length - 1, 0, -1):
             ahead = e[:, t] * beta[t]
             norm = ((alpha[t - 1] @ a) * ahead).sum(axis=1, keepdims=True)
             pairs += a * (alpha[t - 1].T @ (ahead / norm))
@@ -131,16 +159,62 @@ def train(texts: Sequence[str], langs: Sequence[str]) -> Model | None:
         post = alpha * beta
         post /= post.sum(axis=2, keepdims=True)
         off = post.transpose(1, 0, 2).reshape(-1, k)
-        off[np.arange(len(off)), label.ravel()] -= 1
-        flat = kinds.ravel()
-        by_type = np.stack([np.bincount(flat, off[:, c], minlength=len(share)) for c in range(k)], axis=1) * share[:, None]
-        grad = np.stack([np.bincount(number, by_type[owner, c], minlength=1 << BITS) for c in range(k)], axis=1)
-        grads = [(grad / count + DECAY * params[0]).astype(np.float32), (pairs - gold) / count + DECAY * params[1]]
+        off[np.arange(len(off)), y.ravel()] -= 1
+        np.add.at(pairs, (y[:, :-1].ravel(), y[:, 1:].ravel()), -1)
+        likelihood += float((scores[x, y] - top[x]).sum() + (switch[y[:, :-1], y[:, 1:]] - switch.max()).sum())
+        flat = x.ravel()
+        by_type += np.stack([np.bincount(flat, off[:, c], minlength=len(scores)) for c in range(k)], axis=1)
+    return likelihood, by_type, pairs
+
+
+def _gradients(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Of each block: sequences, log likelihood, gradients of the switches and of the features that occur in it."""
+    weights, switch = shared.value
+    k = len(switch)
+    for batch in batches:
+        for raw in batch.select(_BLOCK).to_pylist():
+            number, owner, share, kinds, label = (np.frombuffer(raw[c], t) for c, t in zip(_BLOCK, _BLOCK_TYPES))
+            kinds, label = kinds.reshape(-1, LENGTH), label.reshape(-1, LENGTH)
+            scores = _type_scores(number, owner, share, weights).astype(np.float64)
+            likelihood, by_type, pairs = expectations(kinds, label, scores, switch)
+            by_type *= share[:, None]
+            there, place = np.unique(number, return_inverse=True)
+            grad = np.stack([np.bincount(place, by_type[owner, c], minlength=len(there)) for c in range(k)], axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([len(kinds)], pa.int64()), pa.array([likelihood]),
+                 *[pa.array([x.tobytes()], pa.binary()) for x in (pairs, there.astype("<i4"), grad.astype("<f4"))]],
+                ["n", "likelihood", "pairs", "numbers", "gradient"])
+
+
+def objective(blocks: DataFrame, weights: np.ndarray, switch: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log likelihood with its penalty, and its gradients. One row per block reaches the driver."""
+    context = blocks.sparkSession.sparkContext
+    shared = context.broadcast((weights, switch))  # 2^BITS weights per language
+    count, loss, grad, pairs = 0, 0.0, np.zeros(weights.shape, np.float32), np.zeros(switch.shape)
+    rows = blocks.mapInArrow(partial(_gradients, shared=shared), "n bigint, likelihood double, pairs binary, numbers binary, gradient binary")
+    for r in rows.collect():
+        count, loss = count + r["n"], loss - r["likelihood"]
+        pairs += np.frombuffer(r["pairs"]).reshape(pairs.shape)
+        grad[np.frombuffer(r["numbers"], "<i4")] += np.frombuffer(r["gradient"], "<f4").reshape(-1, len(switch))
+    shared.destroy()
+    loss = loss / count + DECAY / 2 * (float((weights.astype(np.float64) ** 2).sum()) + float((switch**2).sum()))
+    return loss, grad / np.float32(count) + np.float32(DECAY) * weights, pairs / count + DECAY * switch
+
+
+def train(blocks: DataFrame, langs: list[str]) -> Model | None:
+    """A model from blocks of sequences; None without a word. Adam on the sums of all blocks' gradients."""
+    if blocks.isEmpty():
+        return None
+    k = len(langs)
+    params = [np.zeros((1 << BITS, k), np.float32), np.zeros((k, k))]
+    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    for turn in range(1, ROUNDS + 1):
+        _, *grads = objective(blocks, *params)
         for p, g, m, v in zip(params, grads, first, second):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             p -= RATE * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-8)
-    return Model(names, params[0], params[1])
+    return Model(langs, *params)
 
 
 def forward_backward(e: np.ndarray, at: np.ndarray, a: np.ndarray) -> np.ndarray:
@@ -247,23 +321,36 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
+def training_blocks(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> tuple[DataFrame, list[str]] | None:
+    """Training sequences of a sample of ``docs``, written once, and the languages; None without usable rows."""
+    usable = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    usable = usable.select("doc_id", "lang", "text")
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).orderBy("lang").collect()
+    if not counts:
+        return None
+    unit, share, chars = 1 << 30, F.lit(0), 0.0
+    for r in counts:
+        part = min(1.0, train_docs / len(counts) / r["n"], train_chars / len(counts) / max(r["chars"], 1))
+        chars += part * r["chars"]
+        share = F.when(F.col("lang") == r["lang"], min(unit, int(unit * part) + 1)).otherwise(share)
+    drawn = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(unit)) < share)
+    drawn = drawn.repartition(int(chars // BLOCK_CHARS) + 1).sortWithinPartitions("doc_id", "lang", "text")
+    langs = [r["lang"] for r in counts]
+    made = drawn.select("lang", "text").mapInArrow(partial(_blocks, langs=langs), ", ".join(f"{c} binary" for c in _BLOCK))
+    return materialize(made, "blocks"), langs
+
+
+def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> Model | None:
     """Learn from ``train_docs`` documents or so, as many of each language, drawn by a hash of doc_id.
 
-    Held-out rows and rows with a null lang, text or doc_id teach nothing. The sample is bounded by
-    the parameter; its texts are used whole.
+    Where these would exceed ``train_chars`` characters, fewer are drawn. Held-out rows and rows with a
+    null lang, text or doc_id teach nothing. Both bounds hold on average; texts drawn are used whole, in
+    blocks of 2^20 characters at most, so no task or driver holds more. What the driver holds are the
+    model and a gradient of the features in each block, whose number the bounds limit. A single
+    language is learned as well; the model grows with the number of languages, not of rows.
     """
-    usable = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
-    if not counts:
-        return None
-    unit = 1 << 30
-    share = F.lit(0)
-    for lang, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == lang, min(unit, int(unit * train_docs / len(counts) / n) + 1)).otherwise(share)
-    drawn = usable.filter((F.pmod(F.xxhash64("doc_id"), F.lit(unit)) < share) & F.col("text").isNotNull())
-    rows = sorted((r["lang"], r["text"]) for r in drawn.select("lang", "text").collect())
-    return train([t for _, t in rows], [x for x, _ in rows]) if rows else None
+    found = training_blocks(docs, train_docs, train_chars)
+    return train(*found) if found else None
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: Sequence[str] = ("doc_id",),

@@ -40,6 +40,58 @@ def test_forward_backward_in_segments():
                 assert np.allclose(got[i:j], direct_posterior(e[i:j], a))
 
 
+def test_expected_counts_equal_enumeration():
+    """Likelihood and counts of every labelling of a short sequence, one by one."""
+    from itertools import product
+
+    draw = np.random.default_rng(2)
+    scores, switch = draw.normal(size=(3, 2)), draw.normal(size=(2, 2))
+    kinds, label = np.array([[0, 2, 1, 0]]), np.array([[1, 0, 0, 1]])
+
+    def total(y):
+        return sum(scores[w, c] for w, c in zip(kinds[0], y)) + sum(switch[a, b] for a, b in zip(y, y[1:]))
+
+    every = list(product(range(2), repeat=4))
+    z = sum(np.exp(total(y)) for y in every)
+    words, pairs = np.zeros((3, 2)), np.zeros((2, 2))
+    for y, share in [(y, np.exp(total(y)) / z) for y in every] + [(tuple(label[0]), -1)]:
+        for w, c in zip(kinds[0], y):
+            words[w, c] += share
+        for a, b in zip(y, y[1:]):
+            pairs[a, b] += share
+    got = language_id.expectations(kinds, label, scores, switch)
+    assert np.isclose(got[0], total(label[0]) - np.log(z))
+    assert np.allclose(got[1], words) and np.allclose(got[2], pairs)
+
+
+def test_gradient_equals_finite_differences(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SLICE", 1 << 8)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) < 400 and doc_id < 150")
+    blocks, langs = language_id.training_blocks(docs)
+    draw, k = np.random.default_rng(5), len(langs)
+    weights, switch = draw.normal(size=(1 << language_id.BITS, k)).astype(np.float32), draw.normal(size=(k, k))
+    _, grad, pairs = language_id.objective(blocks, weights, switch)
+    top = np.unravel_index(np.argsort(-np.abs(grad), axis=None)[:2], grad.shape)
+    for i, c in zip(*top):
+        ends = []
+        for move in (0.05, -0.05):
+            moved = weights.copy()
+            moved[i, c] += move
+            ends.append(language_id.objective(blocks, moved, switch)[0])
+        assert np.isclose((ends[0] - ends[1]) / 0.1, grad[i, c], rtol=0.01, atol=1e-5)
+    ends = [language_id.objective(blocks, weights, switch + np.eye(1, k * k, 1).reshape(k, k) * m)[0] for m in (1e-3, -1e-3)]
+    assert np.isclose((ends[0] - ends[1]) / 2e-3, pairs.ravel()[1], rtol=0.01, atol=1e-6)
+
+
+def test_one_language_and_character_bound(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("lang = 'en'").limit(40)
+    rows = language_id.identify(docs).collect()
+    assert {r["lang_pred"] for r in rows} <= {"en", "und"} and all(r["score"] in (0, 1) for r in rows)
+    whole = spark.read.parquet(f"{SF}/documents.parquet")
+    sizes = [sum(len(r["kinds"]) for r in language_id.training_blocks(whole, 1000, n)[0].collect()) for n in (10**9, 10**5)]
+    assert sizes[1] < sizes[0] / 3
+
+
 def test_language_query_on_held_out_documents(spark):
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = QUERIES["op1_crf_language"](spark, SF).collect()
