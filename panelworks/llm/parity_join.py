@@ -9,10 +9,11 @@ part's contents (XOR of the 64-bit hashes of its shingles) is the join key.
 Keys with few sets give all their pairs. Keys with many (a passage that documents share, or a large
 group of near copies) give only the star around their smallest set. A set with N filled parts and
 limit D needs its first D + 1 keys only, in any common order (prefix filter): with the crowded keys
-last, most sets need none of those. What is then left, pairs of different components in a common
-crowded key, is compared by dense sketches in cells of bounded size. Possible pairs are verified on
-exact sets, those of the stars before the others, the best of each set first, and only while their
-ends are in different components. So no link between different sets is lost: a skipped pair has both ends in one component.
+last, most sets need none of those. Possible pairs are verified on exact sets, the best of each set
+first, and only while their ends are in different components. What is then left, pairs of different
+components in a common crowded key, is compared in cells of bounded size by sketches and exact sets;
+a cell keeps track of its components, so it returns links of a spanning forest only. No link between
+different sets is lost: a skipped pair has both ends in one component.
 """
 
 from __future__ import annotations
@@ -32,10 +33,11 @@ from panelworks.session import materialize
 WORDS, PERCENT = 5, 75
 CROWDED = 8  # distinct sets from which a key gives a star instead of all pairs
 SKETCH_WORDS = 8  # 64-bit words of the smallest sketch; larger sets have 4 to 8 bits per shingle
-CELL_ROWS = 4096
+CELL_BYTES, LEAST_BYTES = 32 << 20, 4096  # of exact sets on one side of a cell; what a set counts at least
 SLACK_STEP = 4
 FLUSH = 1 << 20
-BUCKETS_PER_PARTITION = 4
+BUCKETS_PER_PARTITION, BUCKET_SHINGLES = 4, 1 << 20
+HELD = 1 << 21  # entries of a bucket at which members of crowded keys go on
 ENTRY = np.dtype([("k", "<u8"), ("s", "<u8")])
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -128,7 +130,7 @@ def _entries(h: np.ndarray, bounds: np.ndarray, percent: int, buckets: int) -> t
         out.append(e)
         out_bucket.append(((keys >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64))
 
-    for step in (0, 1, 2):
+    for step in range(int((last - first).max(initial=0)) + 1):
         chosen = np.flatnonzero((most > 0) & (first + step <= last))
         if not len(chosen):
             continue
@@ -158,7 +160,7 @@ def _entries(h: np.ndarray, bounds: np.ndarray, percent: int, buckets: int) -> t
     return np.concatenate(out_bucket), np.concatenate(out)
 
 
-_SET_SCHEMA = "doc_id bigint, n_shingles bigint, ch bigint, cl bigint, sketch binary, small binary"
+_SET_SCHEMA = "doc_id bigint, n_shingles bigint, ch bigint, cl bigint, sketch binary"
 
 
 def _describe(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -167,12 +169,10 @@ def _describe(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
         for first, h, bounds in shingle_sets(batch.column("text").to_pylist(), words):
             high, low = _class_ids(h, bounds)
             n = len(bounds) - 1
-            sketch = _sketches(h, bounds)
-            small = [folded(np.frombuffer(x, "<u8"), SKETCH_WORDS).tobytes() for x in sketch]
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(first, n), pa.array(np.diff(bounds)), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)),
-                 pa.array(sketch, pa.binary()), pa.array(small, pa.binary())],
-                ["doc_id", "n_shingles", "ch", "cl", "sketch", "small"])
+                 pa.array(_sketches(h, bounds), pa.binary())],
+                ["doc_id", "n_shingles", "ch", "cl", "sketch"])
 
 
 def _packed(bucket: np.ndarray, entries: np.ndarray) -> pa.RecordBatch:
@@ -204,17 +204,12 @@ def _emit(batches: Iterator[pa.RecordBatch], words: int, percent: int, buckets:
 _MET_SCHEMA = "ah bigint, al bigint, bh bigint, bl bigint, key bigint, code int, slack int"
 
 
-def _met_rows(bucket: int, packed: list[bytes]) -> pa.RecordBatch | None:
-    """Pairs of sets that share a key of the bucket, and the members of its crowded keys."""
-    e = np.frombuffer(b"".join(packed), ENTRY)
-    key = e["k"] >> np.uint64(24)
-    order = np.argsort(key, kind="stable")
-    ranked = key[order]
-    same = ranked[1:] == ranked[:-1]
-    shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    e = e[order[shared]]
-    if not len(e):
-        return None
+def _met_rows(bucket: int, e: np.ndarray, crowded: np.ndarray, last: bool) -> tuple[pa.RecordBatch | None, np.ndarray, np.ndarray]:
+    """Pairs of sets that share a key of the bucket, and the members of its crowded keys.
+
+    Before the ``last`` call only crowded keys give rows: their smallest set is kept, and the others'
+    entries; keys that were crowded once stay so. Returns the rows, the entries kept, the crowded keys.
+    """
     order = np.lexsort((e["s"], e["k"] & np.uint64(0xFFFF), e["k"] >> np.uint64(24)))
     e = e[order]
     key, high, low = e["k"] >> np.uint64(24), (e["k"] & np.uint64(0xFFFF)).astype(np.int64), e["s"].view(np.int64)
@@ -223,10 +218,25 @@ def _met_rows(bucket: int, packed: list[bytes]) -> pa.RecordBatch | None:
     e, key, high, low = e[new], key[new], high[new], low[new]
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     count = np.diff(np.append(start, len(key)))
-    head, size = np.repeat(start, count), np.repeat(count, count)
+    is_hot = (count > CROWDED) | np.isin(key[start], crowded)
+    crowded = np.union1d(crowded, key[start][is_hot])
+    kept = np.empty(0, ENTRY)
+    if last:
+        some = is_hot | (count > 1)
+    else:
+        some = is_hot
+        first = np.zeros(len(e), bool)
+        first[start] = True
+        kept = e[first | ~np.repeat(is_hot, count)]
+    there = np.repeat(some, count)
+    e, key, high, low, is_hot, count = e[there], key[there], high[there], low[there], is_hot[some], count[some]
+    if not len(e):
+        return None, kept, crowded
+    start = np.cumsum(count) - count
+    head, hot_row = np.repeat(start, count), np.repeat(is_hot, count)
     i = np.arange(len(key))
-    pairs = [np.stack([head, i])[:, (size > CROWDED) & (i > head)]]
-    few = size <= CROWDED
+    pairs = [np.stack([head, i])[:, hot_row & (i > head)]]
+    few = ~hot_row
     for gap in range(1, CROWDED):
         left = i[:-gap][few[:-gap] & (head[:-gap] == head[gap:])] if len(i) > gap else i[:0]
         pairs.append(np.stack([left, left + gap]))
@@ -236,7 +246,7 @@ def _met_rows(bucket: int, packed: list[bytes]) -> pa.RecordBatch | None:
     keep = np.ones(cols.shape[1], bool)
     keep[1:] = (cols[:, 1:] != cols[:, :-1]).any(axis=0)
     cols = cols[:, keep]
-    hot = np.flatnonzero(size > CROWDED)
+    hot = np.flatnonzero(hot_row)
     code = (e["k"][hot] >> np.uint64(16)).astype(np.int64) & 0xFF
     none = pa.nulls(len(hot), pa.int64())
     n = cols.shape[1]
@@ -250,22 +260,30 @@ def _met_rows(bucket: int, packed: list[bytes]) -> pa.RecordBatch | None:
     def only(own: np.ndarray, kind: pa.DataType) -> pa.Array:
         return pa.concat_arrays([pa.nulls(n, kind), pa.array(own, kind)])
 
-    return pa.RecordBatch.from_arrays(
+    rows = pa.RecordBatch.from_arrays(
         [both(cols[0], high[hot]), both(cols[1], low[hot]), second(cols[2]), second(cols[3]),
          only(key[hot].astype(np.int64) | bucket << 40, pa.int64()), only(code & 3, pa.int32()), only(code >> 2, pa.int32())],
         ["ah", "al", "bh", "bl", "key", "code", "slack"])
+    return rows, kept, crowded
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    now, held = None, []
+    """Buckets, in order, to their pairs; what a bucket holds at once grows with its distinct keys only."""
+    now, held, size, limit, crowded = None, [], 0, HELD, np.empty(0, np.uint64)
     for batch in batches:
         for bucket, packed in zip(batch.column("bucket").to_pylist(), batch.column("packed").to_pylist()):
             if bucket != now:
-                if held and (out := _met_rows(now, held)) is not None:
+                if held and (out := _met_rows(now, np.concatenate(held), crowded, True)[0]) is not None:
                     yield out
-                now, held = bucket, []
-            held.append(packed)
-    if held and (out := _met_rows(now, held)) is not None:
+                now, held, size, limit, crowded = bucket, [], 0, HELD, np.empty(0, np.uint64)
+            held.append(np.frombuffer(packed, ENTRY))
+            size += len(held[-1])
+            if size > limit:
+                out, kept, crowded = _met_rows(now, np.concatenate(held), crowded, False)
+                held, size, limit = [kept], len(kept), HELD + 2 * len(kept)
+                if out is not None:
+                    yield out
+    if held and (out := _met_rows(now, np.concatenate(held), crowded, True)[0]) is not None:
         yield out
 
 
@@ -321,88 +339,110 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
                 ["doc_id", "ch", "cl", "members"])
 
 
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets, as rising arrays, link."""
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    shared = int((b[at] == a).sum())
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
 def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("a_members"), batch.column("b_members")):
-            a, b = (np.frombuffer(m.as_buffer(), np.uint64) for m in (x, y))
-            at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-            shared = int((b[at] == a).sum())
-            keep.append(100 * shared >= percent * (len(a) + len(b) - shared))
+        both = zip(batch.column("a_members"), batch.column("b_members"))
+        keep = [_similar(*(np.frombuffer(m.as_buffer(), np.uint64) for m in pair), percent) for pair in both]
         mask = pa.array(keep, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a_rep", "b_rep")], ["src", "dst"])
 
 
+def _exact_sets(ids: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """(rep, members): the shingle hashes of the representatives ``ids`` (doc_id), written once."""
+    concerned = docs.join(materialize(ids, "concerned"), "doc_id", "left_semi")
+    sets = concerned.mapInArrow(partial(_sets, words=words), "doc_id bigint, ch bigint, cl bigint, members binary")
+    own = classes.select(F.col("rep").alias("doc_id"), "ch", "cl")
+    sets = sets.join(own, ["doc_id", "ch", "cl"], "left_semi").groupBy(F.col("doc_id").alias("rep"))
+    return materialize(sets.agg(F.first("members").alias("members")), "sets")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (src, dst) among candidate pairs (a_rep, b_rep), on the exact sets of the documents concerned."""
     pairs = materialize(pairs, "candidates")
     ids = pairs.select(F.explode(F.array("a_rep", "b_rep")).alias("doc_id")).distinct()
-    concerned = docs.join(materialize(ids, "concerned"), "doc_id", "left_semi")
-    sets = concerned.mapInArrow(partial(_sets, words=words), "doc_id bigint, ch bigint, cl bigint, members binary")
-    own = classes.select(F.col("rep").alias("doc_id"), "ch", "cl")
-    sets = sets.join(own, ["doc_id", "ch", "cl"], "left_semi").groupBy("doc_id").agg(F.first("members").alias("members"))
-    sets = materialize(sets, "sets")
-    a = sets.select(F.col("doc_id").alias("a_rep"), F.col("members").alias("a_members"))
-    b = sets.select(F.col("doc_id").alias("b_rep"), F.col("members").alias("b_members"))
+    sets = _exact_sets(ids, docs, classes, words)
+    a = sets.select(F.col("rep").alias("a_rep"), F.col("members").alias("a_members"))
+    b = sets.select(F.col("rep").alias("b_rep"), F.col("members").alias("b_members"))
     met = pairs.join(a, "a_rep").join(b, "b_rep")
     return materialize(met.mapInArrow(partial(_linked, percent=percent), "src bigint, dst bigint"), "links")
 
 
-def _cell_pairs(rows: list[dict], percent: int) -> list[np.ndarray]:
-    """Pairs of one cell in different components whose small sketches allow a link."""
-    cols = {k: np.concatenate([r[k] for r in rows]) for k in ("rep", "n", "component", "main", "left")}
-    small = np.concatenate([r["small"] for r in rows])
-    i, j = np.flatnonzero(cols["left"]), np.flatnonzero(~cols["left"])
-    rep, n, comp = cols["rep"], cols["n"], cols["component"]
-    out = []
-    step = max(1, (1 << 20) // max(len(j), 1))
-    for at in range(0, len(i), step):
-        x = i[at : at + step, None]
-        near = (comp[x] != comp[j]) & ((comp[j] == cols["main"][j]) | (rep[j] > rep[x]))
-        near &= np.minimum(n[x], n[j]) * 100 >= np.maximum(n[x], n[j]) * percent
-        p, q = np.nonzero(near)
-        p, q = x[p, 0], j[q]
-        far = np.bitwise_count(small[p] ^ small[q]).sum(axis=1)
-        fits = far <= _difference(n[p], n[q], percent)
-        out.append(np.stack([np.minimum(rep[p], rep[q]), np.maximum(rep[p], rep[q])])[:, fits])
-    return out
-
-
-def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Cells, in order, to the pairs of all of them; repeated pairs go from time to time."""
-    def flushed(pairs: list[np.ndarray]) -> np.ndarray:
-        both = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
-        both = both[:, np.lexsort(both)]
-        new = np.ones(both.shape[1], bool)
-        new[1:] = (both[:, 1:] != both[:, :-1]).any(axis=0)
-        return both[:, new]
-
-    pairs: list[np.ndarray] = []
+class _Cell:
+    """Rows and columns of one cell of a crowded key; links are verified and kept only between components."""
+
+    def __init__(self, rows: list[dict], percent: int) -> None:
+        cols = {k: np.concatenate([r[k] for r in rows]) for k in ("rep", "component", "left", "top")}
+        sets = [x for r in rows for x in r["sets"]]
+        self.rep, self.left, self.top, self.sets, self.percent = cols["rep"], cols["left"], cols["top"], sets, percent
+        self.n = np.array([len(x) for x in sets])
+        names, self.component = np.unique(cols["component"], return_inverse=True)
+        self.parent = np.arange(len(names))
+        bounds = np.concatenate([[0], np.cumsum(self.n)])
+        self.dense = _sketches(np.concatenate(sets), bounds)
+        self.small = np.stack([folded(np.frombuffer(x, "<u8"), SKETCH_WORDS) for x in self.dense])
+
+    def _settled(self) -> np.ndarray:
+        """The component of every row, after the links found so far."""
+        while (up := self.parent[self.parent] != self.parent).any():
+            self.parent[up] = self.parent[self.parent[up]]
+        return self.parent[self.component]
+
+    def links(self) -> Iterator[tuple[int, int]]:
+        """At most one link fewer than there are components; none that is missing would join two of them."""
+        i, j = np.flatnonzero(self.left), np.flatnonzero(~self.left)
+        now = self._settled()
+        for x in i.tolist():
+            # the mirror cell has the pairs of which neither end is in the top component the other way round
+            apart = j[(now[j] != now[x]) & (self.top[j] | (self.rep[j] > self.rep[x]))]
+            n, m = self.n[x], self.n[apart]
+            limit = _difference(n, m, self.percent)
+            fits = np.minimum(n, m) * 100 >= np.maximum(n, m) * self.percent
+            fits &= np.bitwise_count(self.small[apart] ^ self.small[x]).sum(axis=1) <= limit
+            for y, most in zip(apart[fits].tolist(), limit[fits].tolist()):
+                if now[y] == now[x] or sketch_distance(self.dense[x], self.dense[y]) > most:
+                    continue
+                if _similar(self.sets[x], self.sets[y], self.percent):
+                    yield int(self.rep[x]), int(self.rep[y])
+                    self.parent[max(now[x], now[y])] = min(now[x], now[y])
+                    now = self._settled()
+
+
+def _forest(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Verified links (src, dst) of all cells, in order of the cells."""
     held: list[dict] = []
-    now = None
+    now, out = None, []
+
+    def made() -> pa.RecordBatch:
+        src, dst = zip(*out) if out else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
     for batch in batches:
         if not batch.num_rows:
             continue
         cell = np.stack([batch.column(c).to_numpy() for c in ("key", "_i", "_j")])
-        small = np.frombuffer(b"".join(batch.column("small").to_pylist()), "<u8").reshape(-1, SKETCH_WORDS)
-        cols = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("rep", "n", "component", "main", "left")} | {"small": small}
+        cols = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("rep", "component", "left", "top")}
+        sets = [np.frombuffer(x, np.uint64) for x in batch.column("members").to_pylist()]
         cuts = np.concatenate([[0], np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1, [batch.num_rows]])
         for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             here = tuple(cell[:, i].tolist())
             if here != now:
                 if held:
-                    pairs += _cell_pairs(held, percent)
+                    out += _Cell(held, percent).links()
                 held, now = [], here
-            held.append({k: v[i:j] for k, v in cols.items()})
-        if sum(p.shape[1] for p in pairs) > FLUSH:
-            pairs = [flushed(pairs)]
-            if pairs[0].shape[1] > FLUSH // 2:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs[0]], ["a_rep", "b_rep"])
-                pairs = []
+            held.append({k: v[i:j] for k, v in cols.items()} | {"sets": sets[i:j]})
+        if out:
+            yield made()
+            out = []
     if held:
-        pairs += _cell_pairs(held, percent)
-    if pairs:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in flushed(pairs)], ["a_rep", "b_rep"])
+        out += _Cell(held, percent).links()
+        yield made()
 
 
 def _joined(pairs: DataFrame, found: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -418,33 +458,39 @@ def _joined(pairs: DataFrame, found: DataFrame, docs: DataFrame, classes: DataFr
     return found
 
 
-def _hidden(met: DataFrame, classes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """(a_rep, b_rep): pairs in a crowded key that both ends need, in different components so far."""
+def _hidden(met: DataFrame, docs: DataFrame, classes: DataFrame, found: DataFrame, words: int, percent: int) -> DataFrame:
+    """(src, dst): links between different components so far whose sets both need a crowded key.
+
+    A key's members outside its largest component are compared with all of its members, in cells of
+    CELL_BYTES of sets on either side. Each cell returns a spanning forest of what it links.
+    """
     n = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot = met.filter(F.col("bl").isNull()).select(F.col("ah").alias("ch"), F.col("al").alias("cl"), "key", "code", "slack")
-    # a set needs all but (slack - 1) of its crowded keys, the least crowded ones
+    # a set needs all but (slack - 1) of its crowded keys, the least crowded ones; a row can come twice
     crowd = hot.groupBy("key").agg(F.count(F.lit(1)).alias("crowd"))
     own = Window.partitionBy("ch", "cl", "code")
-    placed = hot.join(crowd, "key").withColumn("place", F.row_number().over(own.orderBy("crowd", "key")))
-    placed = placed.withColumn("held", F.count(F.lit(1)).over(own))
+    placed = hot.join(crowd, "key").withColumn("place", F.dense_rank().over(own.orderBy("crowd", "key")))
+    placed = placed.withColumn("held", F.max("place").over(own))
     needed = placed.filter(F.col("place") <= F.col("held") - F.greatest(F.col("slack") * SLACK_STEP - 1, F.lit(0)))
-    members = needed.join(classes.select("ch", "cl", "rep"), ["ch", "cl"]).join(
-        found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    members = needed.join(classes.select("ch", "cl", "rep", "n_shingles"), ["ch", "cl"]).join(
+        found.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "key", "rep", F.coalesce("component", "rep").alias("component"), F.greatest(F.col("n_shingles") * 8, F.lit(LEAST_BYTES)).alias("_bytes"))
     members = materialize(members, "members")
-    sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = members.groupBy("key", "component").agg(F.sum("_bytes").alias("n"))
     keys = sizes.groupBy("key").agg(
         F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("kinds"))
-    keys = keys.filter("kinds > 1").select(
-        "key", F.col("top.component").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / CELL_ROWS).alias("rows"),
-        F.ceil(F.col("all") / CELL_ROWS).alias("columns"))
-    sketched = classes.select("rep", F.col("n_shingles").alias("n"), "small")
-    cells = members.join(keys, "key").join(sketched, "rep").withColumn("_at", F.xxhash64("rep"))
+    keys = materialize(keys.filter("kinds > 1").select(
+        "key", F.col("top.component").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / CELL_BYTES).alias("rows"),
+        F.ceil(F.col("all") / CELL_BYTES).alias("columns")), "keys")
+    unsettled = members.join(keys, "key")
+    sets = _exact_sets(unsettled.select(F.col("rep").alias("doc_id")).distinct(), docs, classes, words)
     all_rows = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: F.struct(i.alias("_i"), F.pmod("_at", "columns").alias("_j"), F.lit(False).alias("left")))
     all_columns = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda j: F.struct(F.pmod("_at", "rows").alias("_i"), j.alias("_j"), F.lit(True).alias("left")))
     sides = F.when(F.col("component") == F.col("main"), all_rows).otherwise(F.concat(all_rows, all_columns))
-    dealt = cells.select("key", "rep", "n", "component", "main", "small", F.inline(sides))
-    dealt = dealt.repartition(n, "key", "_i", "_j").sortWithinPartitions("key", "_i", "_j")
-    return dealt.mapInArrow(partial(_compare, percent=percent), "a_rep bigint, b_rep bigint").distinct()
+    dealt = unsettled.withColumn("_at", F.xxhash64("rep")).select(
+        "key", "rep", "component", (F.col("component") == F.col("main")).alias("top"), F.inline(sides)).join(sets, "rep")
+    dealt = dealt.repartition(n, "key", "_i", "_j").sortWithinPartitions("key", "_i", "_j", "rep")
+    return materialize(dealt.mapInArrow(partial(_forest, percent=percent), "src bigint, dst bigint"), "hidden")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -463,10 +509,12 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     described = materialize(docs.mapInArrow(partial(_describe, words=words), _SET_SCHEMA), "described")
     filled = described.filter("n_shingles > 0 and doc_id is not null")
     classes = materialize(filled.groupBy("ch", "cl").agg(
-        F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n_shingles", "sketch", "small")]), "classes")
+        F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n_shingles", "sketch")]), "classes")
 
+    shingles = described.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    buckets = max(n * BUCKETS_PER_PARTITION, shingles // BUCKET_SHINGLES)
     entries = docs.filter("doc_id is not null").mapInArrow(
-        partial(_emit, words=words, percent=percent, buckets=n * BUCKETS_PER_PARTITION), "bucket bigint, packed binary")
+        partial(_emit, words=words, percent=percent, buckets=buckets), "bucket bigint, packed binary")
     met = materialize(entries.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _MET_SCHEMA), "met")
 
     a, b = _side(classes, "a"), _side(classes, "b")
@@ -474,8 +522,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     pairs = _possible(pairs.join(a, ["ah", "al"]).join(b, ["bh", "bl"]), percent)
     found = spark.createDataFrame([], "node bigint, component bigint")
     found = _joined(pairs, found, docs, classes, words, percent)
-    hidden = _possible(_hidden(met, classes, found, percent).join(a, "a_rep").join(b, "b_rep"), percent)
-    found = _joined(hidden, found, docs, classes, words, percent)
+    hidden = _hidden(met, docs, classes, found, words, percent)
+    if not hidden.isEmpty():
+        found = materialize(components(hidden.unionByName(found.select(F.col("node").alias("src"), F.col("component").alias("dst")))), "found")
 
     reps = described.join(classes.select("ch", "cl", "rep"), ["ch", "cl"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep"))

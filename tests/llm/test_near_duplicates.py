@@ -83,6 +83,40 @@ def test_parity_join_loses_no_link(spark):
     assert {r[0]: (r[1], r[2]) for r in got} == brute_components(rows)
 
 
+def test_long_near_copies_without_a_common_hub(spark, monkeypatch):
+    """A ring of long texts, each near its neighbours only, with one passage in all; small buckets and cells."""
+    draw, vocabulary = random.Random(6), [f"w{i}" for i in range(5000)]
+    passage, ring = draw.choices(vocabulary, k=60), draw.choices(vocabulary, k=4000)
+    rows = [(1000 + i, " ".join(passage + [ring[(40 * i + k) % 4000] for k in range(900)])) for i in range(100)]
+    rows += [(i, " ".join(draw.choices(vocabulary, k=900) + passage)) for i in range(40)]
+    draw.shuffle(rows)
+    monkeypatch.setattr(parity_join, "HELD", 500)
+    monkeypatch.setattr(parity_join, "CELL_BYTES", 1 << 17)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = {r[0]: (r[1], r[2]) for r in parity_join.jaccard_components(df).collect()}
+    assert found == brute_components(rows)
+    assert {c for i, (_, c) in found.items() if i >= 1000} == {1000}
+    # as a spanning forest: cells alone link them all, with fewer links than rows
+    sets = [np.unique(np.fromiter((hash(x) & (2**63 - 1) for x in shingles(t)), np.uint64)) for _, t in rows]
+    ids, n = np.array([i for i, _ in rows]), len(rows)
+    both = {"rep": np.tile(ids, 2), "component": np.tile(ids, 2), "left": np.repeat([True, False], n), "top": np.zeros(2 * n, bool), "sets": sets * 2}
+    links = list(parity_join._Cell([both], 75).links())
+    assert len(links) == 99 and components(spark.createDataFrame(links, "src long, dst long")).select("component").distinct().count() == 1
+
+
+def test_low_limits_use_all_bands(spark):
+    draw, vocabulary = random.Random(9), [f"w{i}" for i in range(400)]
+    base = draw.choices(vocabulary, k=60)
+    rows = [(i, " ".join(base[: 30 + i] + draw.choices(vocabulary, k=draw.randrange(40)))) for i in range(30)]
+    got = parity_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), percent=25).collect()
+    sets, parent = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+    for i, j in ((i, j) for i, _ in rows for j, _ in rows if j < i):
+        if 100 * len(sets[i] & sets[j]) >= 25 * len(sets[i] | sets[j]):
+            a, b = root(parent, i), root(parent, j)
+            parent[max(a, b)] = min(a, b)
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: root(parent, i) for i, _ in rows}
+
+
 def test_parity_join_of_odd_rows(spark):
     docs = odd_documents(spark, clashing=True)
     got = sorted(map(tuple, parity_join.jaccard_components(docs).collect()), key=repr)
