@@ -23,7 +23,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelworks.llm.components import components
@@ -33,6 +33,7 @@ from panelworks.session import materialize
 WORDS, PERCENT = 5, 75
 CROWDED = 8  # distinct sets from which a key gives a star instead of all pairs
 SKETCH_WORDS = 8  # 64-bit words of the smallest sketch; larger sets have 4 to 8 bits per shingle
+CELL_ROWS = 4096  # on one side of a cell that compares sketches
 CELL_BYTES, LEAST_BYTES = 32 << 20, 4096  # of exact sets on one side of a cell; what a set counts at least
 SLACK_STEP = 4
 FLUSH = 1 << 20
@@ -89,6 +90,12 @@ def folded(sketch: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
 
 
+def _quartered(sketch: bytes) -> bytes:
+    """The sketch in a quarter of its bits, 1 to 2 per shingle, or in the fewest there are."""
+    x = np.frombuffer(sketch, "<u8")
+    return folded(x, max(SKETCH_WORDS, len(x) // 4)).tobytes()
+
+
 def sketch_distance(a: bytes, b: bytes) -> int:
     """Hamming distance in the bits of the smaller sketch: never above the symmetric difference."""
     x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
@@ -160,7 +167,7 @@ def _entries(h: np.ndarray, bounds: np.ndarray, percent: int, buckets: int) -> t
     return np.concatenate(out_bucket), np.concatenate(out)
 
 
-_SET_SCHEMA = "doc_id bigint, n_shingles bigint, ch bigint, cl bigint, sketch binary"
+_SET_SCHEMA = "doc_id bigint, n_shingles bigint, ch bigint, cl bigint, sketch binary, small binary"
 
 
 def _describe(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -169,10 +176,11 @@ def _describe(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
         for first, h, bounds in shingle_sets(batch.column("text").to_pylist(), words):
             high, low = _class_ids(h, bounds)
             n = len(bounds) - 1
+            sketch = _sketches(h, bounds)
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(first, n), pa.array(np.diff(bounds)), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)),
-                 pa.array(_sketches(h, bounds), pa.binary())],
-                ["doc_id", "n_shingles", "ch", "cl", "sketch"])
+                 pa.array(sketch, pa.binary()), pa.array([_quartered(x) for x in sketch], pa.binary())],
+                ["doc_id", "n_shingles", "ch", "cl", "sketch", "small"])
 
 
 def _packed(bucket: np.ndarray, entries: np.ndarray) -> pa.RecordBatch:
@@ -374,19 +382,87 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
     return materialize(met.mapInArrow(partial(_linked, percent=percent), "src bigint, dst bigint"), "links")
 
 
+def _apart_in_cell(cols: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Pairs of rows i and columns j in different components; of those seen from both ends only one way round."""
+    ahead = cols["top"][j] | (cols["rep"][j] > cols["rep"][i[:, None]])
+    return ahead & (cols["component"][j] != cols["component"][i[:, None]])
+
+
+def _near_rows(rows: list[dict], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of one cell the sets with a partner in another component which sizes and sketches allow, and a forest.
+
+    The forest has (2, m) sets: possible pairs that span the components as all possible pairs would.
+    """
+    cols = {k: np.concatenate([r[k] for r in rows]) for k in ("rep", "component", "left", "top", "n")}
+    sketch = [np.frombuffer(x, "<u8") for r in rows for x in r["small"]]
+    width, n, rep = np.array([len(x) for x in sketch]), cols["n"], cols["rep"]
+    near, forest = np.zeros(len(n), bool), [np.zeros((2, 0), np.int64)]
+    now = cols["component"].copy()  # as if all possible pairs were links
+    for w in np.unique(width).tolist():  # linked sets differ by a third in size, so their sketches by one step at most
+        here = np.flatnonzero((width == w) | (width == 2 * w))
+        bits = np.stack([folded(sketch[k], w) for k in here.tolist()])
+        i, j = np.flatnonzero(cols["left"][here]), np.flatnonzero(~cols["left"][here])
+        for x in i.tolist():
+            at, there = here[x], here[j]
+            fits = _apart_in_cell(cols, np.array([at]), there)[0] & ((width[at] == w) | (width[there] == w))
+            fits &= np.minimum(n[at], n[there]) * 100 >= np.maximum(n[at], n[there]) * percent
+            y = j[fits]
+            far = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1)
+            good = here[y[far <= _difference(n[at], n[here[y]], percent)]]
+            if not len(good):
+                continue
+            near[at] = near[good] = True
+            labels, first = np.unique(now[good], return_index=True)
+            new = labels != now[at]
+            if new.any():
+                forest.append(np.stack([np.full(int(new.sum()), rep[at]), rep[good[first[new]]]]))
+                now[np.isin(now, labels[new])] = now[at]
+    return np.unique(rep[near]), np.concatenate(forest, axis=1)
+
+
+def _cells(batches: Iterator[pa.RecordBatch], names: Sequence[str]) -> Iterator[tuple[int, list[dict]]]:
+    """(key, rows) of whole cells, along rows in order of the cells; binary columns come as lists."""
+    held: list[dict] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cell = np.stack([batch.column(c).to_numpy() for c in ("key", "_i", "_j")])
+        cols = {k: batch.column(k).to_pylist() if pa.types.is_binary(batch.column(k).type) else
+                batch.column(k).to_numpy(zero_copy_only=False) for k in names}
+        cuts = np.concatenate([[0], np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1, [batch.num_rows]])
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            here = tuple(cell[:, i].tolist())
+            if here != now:
+                if held:
+                    yield now[0], held
+                held, now = [], here
+            held.append({k: v[i:j] for k, v in cols.items()})
+    if held:
+        yield now[0], held
+
+
+def _mark(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(a_rep) of the sets that may link with another component in some cell; (a_rep, b_rep) of the forests."""
+    for _, rows in _cells(batches, ["rep", "component", "left", "top", "n", "small"]):
+        near, forest = _near_rows(rows, percent)
+        if len(near):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([near, forest[0]])), pa.concat_arrays([pa.nulls(len(near), pa.int64()), pa.array(forest[1])])],
+                ["a_rep", "b_rep"])
+
+
 class _Cell:
     """Rows and columns of one cell of a crowded key; links are verified and kept only between components."""
 
     def __init__(self, rows: list[dict], percent: int) -> None:
-        cols = {k: np.concatenate([r[k] for r in rows]) for k in ("rep", "component", "left", "top")}
-        sets = [x for r in rows for x in r["sets"]]
-        self.rep, self.left, self.top, self.sets, self.percent = cols["rep"], cols["left"], cols["top"], sets, percent
-        self.n = np.array([len(x) for x in sets])
-        names, self.component = np.unique(cols["component"], return_inverse=True)
+        self.cols = {k: np.concatenate([r[k] for r in rows]) for k in ("rep", "component", "left", "top")}
+        self.sets, self.percent = [np.frombuffer(x, np.uint64) for r in rows for x in r["members"]], percent
+        self.n = np.array([len(x) for x in self.sets])
+        names, self.component = np.unique(self.cols["component"], return_inverse=True)
         self.parent = np.arange(len(names))
-        bounds = np.concatenate([[0], np.cumsum(self.n)])
-        self.dense = _sketches(np.concatenate(sets), bounds)
-        self.small = np.stack([folded(np.frombuffer(x, "<u8"), SKETCH_WORDS) for x in self.dense])
+        self.sketch = _sketches(np.concatenate(self.sets), np.concatenate([[0], np.cumsum(self.n)]))
+        self.small = np.stack([folded(np.frombuffer(x, "<u8"), SKETCH_WORDS) for x in self.sketch])
 
     def _settled(self) -> np.ndarray:
         """The component of every row, after the links found so far."""
@@ -396,53 +472,54 @@ class _Cell:
 
     def links(self) -> Iterator[tuple[int, int]]:
         """At most one link fewer than there are components; none that is missing would join two of them."""
-        i, j = np.flatnonzero(self.left), np.flatnonzero(~self.left)
+        rep, left = self.cols["rep"], self.cols["left"]
+        i, j = np.flatnonzero(left), np.flatnonzero(~left)
         now = self._settled()
         for x in i.tolist():
-            # the mirror cell has the pairs of which neither end is in the top component the other way round
-            apart = j[(now[j] != now[x]) & (self.top[j] | (self.rep[j] > self.rep[x]))]
+            apart = j[_apart_in_cell(self.cols | {"component": now}, np.array([x]), j)[0]]
             n, m = self.n[x], self.n[apart]
             limit = _difference(n, m, self.percent)
             fits = np.minimum(n, m) * 100 >= np.maximum(n, m) * self.percent
             fits &= np.bitwise_count(self.small[apart] ^ self.small[x]).sum(axis=1) <= limit
             for y, most in zip(apart[fits].tolist(), limit[fits].tolist()):
-                if now[y] == now[x] or sketch_distance(self.dense[x], self.dense[y]) > most:
+                if now[y] == now[x] or sketch_distance(self.sketch[x], self.sketch[y]) > most:
                     continue
                 if _similar(self.sets[x], self.sets[y], self.percent):
-                    yield int(self.rep[x]), int(self.rep[y])
+                    yield int(rep[x]), int(rep[y])
                     self.parent[max(now[x], now[y])] = min(now[x], now[y])
                     now = self._settled()
 
 
 def _forest(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Verified links (src, dst) of all cells, in order of the cells."""
-    held: list[dict] = []
-    now, out = None, []
-
-    def made() -> pa.RecordBatch:
-        src, dst = zip(*out) if out else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cell = np.stack([batch.column(c).to_numpy() for c in ("key", "_i", "_j")])
-        cols = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("rep", "component", "left", "top")}
-        sets = [np.frombuffer(x, np.uint64) for x in batch.column("members").to_pylist()]
-        cuts = np.concatenate([[0], np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1, [batch.num_rows]])
-        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            here = tuple(cell[:, i].tolist())
-            if here != now:
-                if held:
-                    out += _Cell(held, percent).links()
-                held, now = [], here
-            held.append({k: v[i:j] for k, v in cols.items()} | {"sets": sets[i:j]})
-        if out:
-            yield made()
-            out = []
-    if held:
-        out += _Cell(held, percent).links()
-        yield made()
+    """Verified links (src, dst) of all cells."""
+    for _, rows in _cells(batches, ["rep", "component", "left", "top", "members"]):
+        if links := list(_Cell(rows, percent).links()):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], ["src", "dst"])
+
+
+def _dealt(members: DataFrame, keys: DataFrame, held: DataFrame) -> DataFrame:
+    """Members of ``keys`` in cells: those outside the top component as rows, all as columns, with what ``held`` has."""
+    def stripes(n: str) -> Column:
+        return F.sequence(F.lit(0), F.col(n) - 1)
+
+    all_rows = F.transform(stripes("rows"), lambda i: F.struct(i.alias("_i"), F.pmod("_at", "columns").alias("_j"), F.lit(False).alias("left")))
+    all_columns = F.transform(stripes("columns"), lambda j: F.struct(F.pmod("_at", "rows").alias("_i"), j.alias("_j"), F.lit(True).alias("left")))
+    top = F.col("component") == F.col("top_component")
+    sides = F.when(top, all_rows).otherwise(F.concat(all_rows, all_columns))
+    placed = members.join(keys, "key").withColumn("_at", F.xxhash64("rep"))
+    placed = placed.select("key", "rep", "component", top.alias("top"), F.inline(sides)).join(held, "rep")
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartition(n, "key", "_i", "_j").sortWithinPartitions("key", "_i", "_j", "rep")
+
+
+def _unsettled(members: DataFrame, size: Column, cell: int) -> DataFrame:
+    """Keys with members of several components: the top one and how many stripes of ``cell`` they need."""
+    sizes = members.groupBy("key", "component").agg(F.sum(size).alias("n"))
+    keys = sizes.groupBy("key").agg(
+        F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("kinds"))
+    return materialize(keys.filter("kinds > 1").select(
+        "key", F.col("most.component").alias("top_component"), F.ceil((F.col("all") - F.col("most.n")) / cell).alias("rows"),
+        F.ceil(F.col("all") / cell).alias("columns")), "keys")
 
 
 def _joined(pairs: DataFrame, found: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -451,20 +528,12 @@ def _joined(pairs: DataFrame, found: DataFrame, docs: DataFrame, classes: DataFr
         rest = materialize(_apart(pairs, found), "rest")
         if rest.isEmpty():
             break
-        links = _verified(some(rest), docs, classes, words, percent)
-        if not links.isEmpty():
-            settled = found.select(F.col("node").alias("src"), F.col("component").alias("dst"))
-            found = materialize(components(settled.unionByName(links)), "found")
+        found = _merged(found, _verified(some(rest), docs, classes, words, percent))
     return found
 
 
-def _hidden(met: DataFrame, docs: DataFrame, classes: DataFrame, found: DataFrame, words: int, percent: int) -> DataFrame:
-    """(src, dst): links between different components so far whose sets both need a crowded key.
-
-    A key's members outside its largest component are compared with all of its members, in cells of
-    CELL_BYTES of sets on either side. Each cell returns a spanning forest of what it links.
-    """
-    n = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _needed(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, rep): the crowded keys that each set needs; of keys with the same sets only one."""
     hot = met.filter(F.col("bl").isNull()).select(F.col("ah").alias("ch"), F.col("al").alias("cl"), "key", "code", "slack")
     # a set needs all but (slack - 1) of its crowded keys, the least crowded ones; a row can come twice
     crowd = hot.groupBy("key").agg(F.count(F.lit(1)).alias("crowd"))
@@ -472,25 +541,56 @@ def _hidden(met: DataFrame, docs: DataFrame, classes: DataFrame, found: DataFram
     placed = hot.join(crowd, "key").withColumn("place", F.dense_rank().over(own.orderBy("crowd", "key")))
     placed = placed.withColumn("held", F.max("place").over(own))
     needed = placed.filter(F.col("place") <= F.col("held") - F.greatest(F.col("slack") * SLACK_STEP - 1, F.lit(0)))
-    members = needed.join(classes.select("ch", "cl", "rep", "n_shingles"), ["ch", "cl"]).join(
-        found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("component"), F.greatest(F.col("n_shingles") * 8, F.lit(LEAST_BYTES)).alias("_bytes"))
+    return _different(needed.join(classes.select("ch", "cl", "rep"), ["ch", "cl"]).select("key", "rep").distinct())
+
+
+def _different(members: DataFrame) -> DataFrame:
+    """(key, rep) without keys whose sets another key has as well."""
     members = materialize(members, "members")
-    sizes = members.groupBy("key", "component").agg(F.sum("_bytes").alias("n"))
-    keys = sizes.groupBy("key").agg(
-        F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("kinds"))
-    keys = materialize(keys.filter("kinds > 1").select(
-        "key", F.col("top.component").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / CELL_BYTES).alias("rows"),
-        F.ceil(F.col("all") / CELL_BYTES).alias("columns")), "keys")
-    unsettled = members.join(keys, "key")
-    sets = _exact_sets(unsettled.select(F.col("rep").alias("doc_id")).distinct(), docs, classes, words)
-    all_rows = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: F.struct(i.alias("_i"), F.pmod("_at", "columns").alias("_j"), F.lit(False).alias("left")))
-    all_columns = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda j: F.struct(F.pmod("_at", "rows").alias("_i"), j.alias("_j"), F.lit(True).alias("left")))
-    sides = F.when(F.col("component") == F.col("main"), all_rows).otherwise(F.concat(all_rows, all_columns))
-    dealt = unsettled.withColumn("_at", F.xxhash64("rep")).select(
-        "key", "rep", "component", (F.col("component") == F.col("main")).alias("top"), F.inline(sides)).join(sets, "rep")
-    dealt = dealt.repartition(n, "key", "_i", "_j").sortWithinPartitions("key", "_i", "_j", "rep")
-    return materialize(dealt.mapInArrow(partial(_forest, percent=percent), "src bigint, dst bigint"), "hidden")
+    same = members.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
+    keys = same.filter("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    return members.join(materialize(keys, "keys"), "key", "left_semi")
+
+
+def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """``members`` with their components so far."""
+    known = found.withColumnRenamed("node", "rep")
+    return materialize(members.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "placed")
+
+
+def _with_hidden(met: DataFrame, docs: DataFrame, classes: DataFrame, found: DataFrame, words: int, percent: int) -> DataFrame:
+    """``found`` with the links between different components whose sets both need a crowded key.
+
+    A key's members outside its largest component are compared with all of its members by sketches, in
+    cells of bounded size. Each cell returns the sets that have a possible partner and a forest of
+    possible pairs; what these connect, over all keys, is a cluster. Sets that may link are in the same
+    one, and in one only, so clusters are compared on exact sets, in cells again, each of which returns
+    a spanning forest of its links.
+    """
+    members = _placed(_needed(met, classes), found)
+    sketched = classes.select("rep", F.col("n_shingles").alias("n"), "small")
+    cells = _dealt(members, _unsettled(members, F.lit(1), CELL_ROWS), sketched)
+    near = materialize(cells.mapInArrow(partial(_mark, percent=percent), "a_rep bigint, b_rep bigint").distinct(), "near")
+    if near.isEmpty():
+        return found
+    marked = _placed(near.filter("b_rep is null").select(F.col("a_rep").alias("rep")), found)
+    own = marked.select("rep", "component")
+    pairs = near.filter("b_rep is not null").join(own.toDF("a_rep", "src"), "a_rep").join(own.toDF("b_rep", "dst"), "b_rep")
+    clusters = components(pairs.select("src", "dst")).select(F.col("node").alias("component"), F.col("component").alias("key"))
+    clustered = materialize(marked.join(clusters, "component"), "clustered")
+    sets = _exact_sets(marked.select(F.col("rep").alias("doc_id")), docs, classes, words)
+    size = sets.select("rep", F.greatest(F.length("members"), F.lit(LEAST_BYTES)).alias("_bytes"))
+    cells = _dealt(clustered, _unsettled(clustered.join(size, "rep"), F.col("_bytes"), CELL_BYTES), sets)
+    return _merged(found, materialize(cells.mapInArrow(partial(_forest, percent=percent), "src bigint, dst bigint"), "hidden"))
+
+
+def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after more links."""
+    if links.isEmpty():
+        return found
+    settled = found.select(F.col("node").alias("src"), F.col("component").alias("dst"))
+    return materialize(components(settled.unionByName(links.select("src", "dst"))), "found")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -509,7 +609,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     described = materialize(docs.mapInArrow(partial(_describe, words=words), _SET_SCHEMA), "described")
     filled = described.filter("n_shingles > 0 and doc_id is not null")
     classes = materialize(filled.groupBy("ch", "cl").agg(
-        F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n_shingles", "sketch")]), "classes")
+        F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n_shingles", "sketch", "small")]), "classes")
 
     shingles = described.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = max(n * BUCKETS_PER_PARTITION, shingles // BUCKET_SHINGLES)
@@ -522,9 +622,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     pairs = _possible(pairs.join(a, ["ah", "al"]).join(b, ["bh", "bl"]), percent)
     found = spark.createDataFrame([], "node bigint, component bigint")
     found = _joined(pairs, found, docs, classes, words, percent)
-    hidden = _hidden(met, docs, classes, found, words, percent)
-    if not hidden.isEmpty():
-        found = materialize(components(hidden.unionByName(found.select(F.col("node").alias("src"), F.col("component").alias("dst")))), "found")
+    found = _with_hidden(met, docs, classes, found, words, percent)
 
     reps = described.join(classes.select("ch", "cl", "rep"), ["ch", "cl"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep"))

@@ -92,6 +92,7 @@ def test_long_near_copies_without_a_common_hub(spark, monkeypatch):
     draw.shuffle(rows)
     monkeypatch.setattr(parity_join, "HELD", 500)
     monkeypatch.setattr(parity_join, "CELL_BYTES", 1 << 17)
+    monkeypatch.setattr(parity_join, "CELL_ROWS", 16)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     found = {r[0]: (r[1], r[2]) for r in parity_join.jaccard_components(df).collect()}
     assert found == brute_components(rows)
@@ -99,7 +100,7 @@ def test_long_near_copies_without_a_common_hub(spark, monkeypatch):
     # as a spanning forest: cells alone link them all, with fewer links than rows
     sets = [np.unique(np.fromiter((hash(x) & (2**63 - 1) for x in shingles(t)), np.uint64)) for _, t in rows]
     ids, n = np.array([i for i, _ in rows]), len(rows)
-    both = {"rep": np.tile(ids, 2), "component": np.tile(ids, 2), "left": np.repeat([True, False], n), "top": np.zeros(2 * n, bool), "sets": sets * 2}
+    both = {"rep": np.tile(ids, 2), "component": np.tile(ids, 2), "left": np.repeat([True, False], n), "top": np.zeros(2 * n, bool), "members": [x.tobytes() for x in sets] * 2}
     links = list(parity_join._Cell([both], 75).links())
     assert len(links) == 99 and components(spark.createDataFrame(links, "src long, dst long")).select("component").distinct().count() == 1
 
