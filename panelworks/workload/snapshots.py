@@ -8,7 +8,10 @@ from panelworks.functions import scalars as S
 from panelworks.operators import features as FE
 from panelworks.operators import history as H
 from panelworks.operators import select as SEL
+from panelworks.operators import text as TX
+from panelworks.operators.topk import sparse_topk
 from panelworks.plans import frames
+from panelworks.plans import recommend as REC
 from panelworks.plans import snapshots as SN
 from panelworks.session import fresh_path, materialize
 from panelworks.sources import files
@@ -64,10 +67,11 @@ _AMOUNTS, _VALUES = ["band", "amount", "balance"], ["level", "function", "band",
 MONTH_NUMBERS = [*_AMOUNTS, *[f"n_{c}" for c in _VALUES], "service_days"]
 
 
-# no SQL: all pairs of every month of whole tables
-@query("similarity_all_months")
-def similarity_all_months(spark, sf):
-    """Pairs of every month that the panel spans, from words, history and scaled numbers, in a sink by month."""
+MONTH_BEST = 5
+
+
+def month_vectors(spark, sf):
+    """(snap_date, entity_id, term, w) of every month that the panel spans, from words, history and scaled numbers."""
     p = V.panel(spark, sf).withColumn("words", S.bag_of_words(["unit", "level"]))
     ends = p.agg(F.trunc(F.min("snap_date"), "month"), F.trunc(F.max("snap_date"), "month")).first()
     latest = SN.latest_by_month(p, "entity_id", "snap_date", "row_key", ["words", *_AMOUNTS], *ends)
@@ -76,10 +80,17 @@ def similarity_all_months(spark, sf):
     latest = latest.join(counts, ["snap_date", "entity_id"]).join(since, "entity_id").withColumn(
         "service_days", F.datediff("snap_date", "_since"))
     history = SN.history_by_month(_bought(spark, sf), "entity_id", "day", "term", *ends)
-    pairs = SN.similarity_by_month(materialize(latest, "latest"), history, "entity_id", "words", MONTH_NUMBERS, 0.2)
-    pairs = materialize(pairs.withColumn("sim", F.round("sim", 6)), "pairs")
-    path = files.write_partitioned(pairs, fresh_path(spark, "similarity"), ["snap_date"])
-    return files.read_partitioned(spark, path, pairs.schema)
+    return materialize(SN.month_vectors(materialize(latest, "latest"), history, "entity_id", "words", MONTH_NUMBERS), "vectors")
+
+
+# no SQL: the matrices of all months of whole tables; tests compare with plain products
+@query("similarity_all_months")
+def similarity_all_months(spark, sf):
+    """The MONTH_BEST most similar entities of each one, for every month of the panel, in a sink by month."""
+    best = sparse_topk(month_vectors(spark, sf), "entity_id", MONTH_BEST, ["snap_date"])
+    best = materialize(best.withColumn("sim", F.round("sim", 6)), "best")
+    path = files.write_partitioned(best, fresh_path(spark, "similarity"), ["snap_date"])
+    return files.read_partitioned(spark, path, best.schema)
 
 
 # --- similarity frame -------------------------------------------------------------------
@@ -123,9 +134,8 @@ _SIMFRAME_SQL = TB.ENTITY_SQL + rf""",
   select entity_id, term, count(*) as tf from (select * from words union all select * from past) z group by entity_id, term"""
 
 
-@query("similarity_frame", _SIMFRAME_SQL, TB.ENTITY_VIEWS)
-def similarity_frame(spark, sf):
-    snap = "2001-06-30"
+def _similarity_entities(spark, sf, snap="2001-06-30"):
+    """Entities that did not leave involuntarily, with filled columns and the distance in bins."""
     e = materialize(TB.entity_table(spark, sf, snap), "entity")
     e = FE.group_rare(e, "n_name", "place", 20)
     e = SEL.prune_columns(e, ["snap_date", "manager_id", "level", "band", "n_name"])
@@ -133,7 +143,11 @@ def similarity_frame(spark, sf):
     e = FE.impute_two_level(materialize(e, "distance"), "recent_score", "unit", "median")
     e = FE.impute_two_level(materialize(e, "score"), "recent_rating", "unit", "mode")
     e = e.withColumn("dist_bin", S.bin_right_closed("distance", _DIST_EDGES, _DIST_LABELS))
-    kept = SEL.strip_spaces(e.filter(S.ne_keep_null("term_reason", "Involuntary")))
+    return SEL.strip_spaces(e.filter(S.ne_keep_null("term_reason", "Involuntary")))
+
+
+def _similarity_terms(spark, sf, kept, snap="2001-06-30"):
+    """(entity_id, term, tf) of profile words and of the history before the snapshot."""
     words = kept.select("entity_id", S.bag_of_words(["unit", "place", "recent_rating", "dist_bin"]).alias("w"))
     words = words.select("entity_id", F.explode(S.tokens("w")).alias("term"))
     hist = frames.clean_panel(V.panel(spark, sf), TB.spec(), snap).filter(S.asof("snap_date", snap, inclusive=False))
@@ -144,6 +158,61 @@ def similarity_frame(spark, sf):
     return words.unionByName(past).groupBy("entity_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+@query("similarity_frame", _SIMFRAME_SQL, TB.ENTITY_VIEWS)
+def similarity_frame(spark, sf):
+    return _similarity_terms(spark, sf, _similarity_entities(spark, sf))
+
+
+# --- recommendations from entity rows ---------------------------------------------------
+
+ENTITY_BEST = 10
+ENTITY_NUMBERS = ["n_level", "n_function", "n_band", "n_unit", "n_manager", "downward_levels", "upward_levels",
+                  "recent_score", "distance"]
+
+_FRAME_SQL, _COUNT_SQL = _SIMFRAME_SQL.rsplit("\n  select entity_id, term, count(*)", 1)
+_LIMITS = ", ".join(f"min({c}) as lo_{c}, max({c}) as hi_{c}" for c in ENTITY_NUMBERS)
+_SCALED = " union all ".join(
+    f"select entity_id, '#{c}' as term, cast(case when hi_{c} > lo_{c} then ({c} - lo_{c}) / cast(hi_{c} - lo_{c} as double) "
+    f"else 0 end as double) as w from kept, s_lim" for c in ENTITY_NUMBERS)
+BEST_SQL = f"""{_FRAME_SQL},
+  s_ct as (select entity_id, term, count(*){_COUNT_SQL}),
+  s_nd as (select cast(count(distinct entity_id) as double) as n from s_ct),
+  s_vc as (select term, count(*) as df from s_ct group by term),
+  s_rw as (select entity_id, s_ct.term, tf * (ln((1 + n) / (1 + df)) + 1) as w from s_ct join s_vc on s_vc.term = s_ct.term cross join s_nd),
+  s_tl as (select entity_id, sqrt(sum(w * w)) as l from s_rw group by entity_id),
+  s_lim as (select {_LIMITS} from kept),
+  s_mx as (select s_rw.entity_id, term, w / l as w from s_rw join s_tl on s_tl.entity_id = s_rw.entity_id
+    union all select entity_id, term, w from ({_SCALED}) x where w <> 0),
+  s_ml as (select entity_id, sqrt(sum(w * w)) as l from s_mx group by entity_id),
+  s_vec as (select s_mx.entity_id, term, w / l as w from s_mx join s_ml on s_ml.entity_id = s_mx.entity_id),
+  s_pr as (select a.entity_id as src, b.entity_id as dst, sum(a.w * b.w) as sim from s_vec a join s_vec b
+    on a.term = b.term and a.entity_id <> b.entity_id group by a.entity_id, b.entity_id),
+  best as (select src, dst, round(sim, 6) as sim, cast(row_number() over (
+    partition by src order by round(sim, 9) desc, dst) as int) as rank from s_pr qualify rank <= {ENTITY_BEST})"""
+
+
+def entity_neighbours(spark, sf):
+    """The ENTITY_BEST most similar entities of each one, from terms and scaled numbers."""
+    kept = materialize(_similarity_entities(spark, sf), "kept")
+    vectors = TX.tfidf(materialize(_similarity_terms(spark, sf, kept), "terms"), "entity_id")
+    vectors = TX.append_numbers(vectors, kept.select("entity_id", *ENTITY_NUMBERS), "entity_id", ENTITY_NUMBERS)
+    return sparse_topk(vectors, "entity_id", ENTITY_BEST).withColumn("sim", F.round("sim", 6)), kept
+
+
+@query("similar_entities", f"{BEST_SQL} select * from best", TB.ENTITY_VIEWS)
+def similar_entities(spark, sf):
+    return entity_neighbours(spark, sf)[0]
+
+
+@query("recommend_entities", f"""{BEST_SQL}
+  select best.src, best.rank, best.dst, best.sim, k.unit, k.function, k.recent_rating, k.n_level
+  from best join kept k on k.entity_id = best.dst where k.churn = 0""", TB.ENTITY_VIEWS)
+def recommend_entities(spark, sf):
+    """Profiles of the most similar entities of each one; exits go after the cut, so at most ENTITY_BEST rows."""
+    best, kept = entity_neighbours(spark, sf)
+    return REC.active_profiles(best, kept, "entity_id", "churn", ["unit", "function", "recent_rating", "n_level"])
+
+
 # --- ML-ready frame ---------------------------------------------------------------------
 
 UNITS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
