@@ -234,7 +234,7 @@ def end_digests(ends: DataFrame) -> DataFrame:
 
 
 def _gathered(rows: DataFrame, *others: DataFrame) -> DataFrame:
-    """Rows about the same node in one: what only some of them have is null in the others."""
+    """All rows, to be put together by an aggregate: what only some of them have is null in the others."""
     for other in others:
         rows = rows.unionByName(other, allowMissingColumns=True)
     return rows
@@ -284,9 +284,8 @@ def prefix_trie(conversations: DataFrame, tree_bytes: int = TREE_BYTES) -> DataF
         F.count_if((F.col("fa") == 0) & (F.col("fb") == 0)).alias("kids"), F.coalesce(F.sum("saved"), F.lit(0)).alias("total_saved"),
         F.greatest(F.coalesce(F.sum("leaf"), F.lit(0)), F.lit(1)).alias("leaves"))
     ended = whole.filter("depth is null").agg(F.max("ends").alias("ends"))
-    one = [F.lit(1).alias("_one")]
-    root = top.select("*", *one).join(sums.select("*", *one), "_one").join(ended.select("*", *one), "_one")
-    root = root.select(
+    facts = ["owner", "n", "kids", "total_saved", "leaves", "ends"]
+    root = _gathered(top, sums, ended).agg(*_first(*facts)).filter("n is not null").select(
         F.col("owner").alias("conv_id"), F.lit(0).cast("bigint").alias("depth"), F.lit(None).cast("bigint").alias("parent_conv_id"),
         F.col("n").alias("n_convs"), F.col("kids").alias("n_children"), F.col("leaves").alias("n_leaves"),
         F.col("total_saved").alias("saved_tokens"), F.coalesce("ends", F.lit(NO_MEMBERS)).alias("ends_sha256"))
