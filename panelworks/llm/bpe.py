@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelworks.llm.pretokens import Encoder, byte_characters, lower_nfc, word_spans
-from panelworks.llm.textarrays import distinct, gather_spans, runs, span_hashes, utf8
+from panelworks.llm.textarrays import distinct, gather_spans, gives_back, runs, span_hashes, utf8
 
 END = "</w>"
 _LATE = np.int64(1) << 40
@@ -207,6 +207,7 @@ def word_encoder(path: str) -> Encoder:
     return Encoder(word_spans, bpe.encode, bpe.specials, lower_nfc)
 
 
+@gives_back
 def _round_trip(batches: Iterator[pa.RecordBatch], path: str, with_texts: bool) -> Iterator[pa.RecordBatch]:
     encoder, text = word_encoder(path), word_bpe(path).text
     for batch in batches:

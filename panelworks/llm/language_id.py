@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelworks.llm.textarrays import LETTER, classes, code_points, distinct, lower_table, mix, pieces, runs, span_hashes
+from panelworks.llm.textarrays import LETTER, classes, code_points, distinct, gives_back, lower_table, mix, pieces, runs, span_hashes
 from panelworks.session import materialize
 
 TRAIN_DOCS = 1000  # expected number of training documents, drawn by hash, equally many per language
@@ -107,6 +107,7 @@ _BLOCK = ["number", "owner", "share", "kinds", "label"]
 _BLOCK_TYPES = ["<i4", "<i4", "<f8", "<i4", "<i2"]
 
 
+@gives_back
 def _blocks(batches: Iterator[pa.RecordBatch], langs: list[str]) -> Iterator[pa.RecordBatch]:
     """Labelled texts to blocks of training sequences, with the features of their distinct words."""
     known = {x: k for k, x in enumerate(langs)}
@@ -167,6 +168,7 @@ def expectations(kinds: np.ndarray, label: np.ndarray, scores: np.ndarray, switc
     return likelihood, by_type, pairs
 
 
+@gives_back
 def _gradients(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
     """Of each block: sequences, log likelihood, gradients of the switches and of the features that occur in it."""
     weights, switch = shared.value
@@ -290,6 +292,7 @@ def _spans(label: np.ndarray, langs: list[str]) -> list[dict]:
     return [{"first": int(i), "words": int(j - i), "lang": langs[label[i]]} for i, j in zip(begin, [*begin[1:], len(label)])]
 
 
+@gives_back
 def _predict(batches: Iterator[pa.RecordBatch], shared: Broadcast, with_spans: bool) -> Iterator[pa.RecordBatch]:
     model: Model | None = shared.value
     for batch in batches:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelworks.llm.components import components
-from panelworks.llm.textarrays import documents_words, gather_spans, mix
+from panelworks.llm.textarrays import documents_words, gather_spans, gives_back, mix
 from panelworks.session import materialize
 
 WORDS, PERCENT = 5, 75
@@ -170,6 +170,7 @@ def _entries(h: np.ndarray, bounds: np.ndarray, percent: int, buckets: int) -> t
 _SET_SCHEMA = "doc_id bigint, n_shingles bigint, ch bigint, cl bigint, sketch binary, small binary"
 
 
+@gives_back
 def _describe(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("doc_id")
@@ -197,6 +198,7 @@ def _packed(bucket: np.ndarray, entries: np.ndarray) -> pa.RecordBatch:
         ["bucket", "packed"])
 
 
+@gives_back
 def _emit(batches: Iterator[pa.RecordBatch], words: int, percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     for batch in batches:
@@ -275,6 +277,7 @@ def _met_rows(bucket: int, e: np.ndarray, crowded: np.ndarray, last: bool) -> tu
     return rows, kept, crowded
 
 
+@gives_back
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Buckets, in order, to their pairs; what a bucket holds at once grows with its distinct keys only."""
     now, held, size, limit, crowded = None, [], 0, HELD, np.empty(0, np.uint64)
@@ -295,6 +298,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
+@gives_back
 def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs whose sizes and sketches allow a link, with their distance as a share of the limit."""
     for batch in batches:
@@ -336,6 +340,7 @@ def _best(pairs: DataFrame) -> DataFrame:
     return each.groupBy("node").agg(F.min("pair").alias("pair")).select("pair.a_rep", "pair.b_rep").distinct()
 
 
+@gives_back
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("doc_id")
@@ -354,6 +359,7 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
+@gives_back
 def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         both = zip(batch.column("a_members"), batch.column("b_members"))
@@ -442,6 +448,7 @@ def _cells(batches: Iterator[pa.RecordBatch], names: Sequence[str]) -> Iterator[
         yield now[0], held
 
 
+@gives_back
 def _mark(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """(a_rep) of the sets that may link with another component in some cell; (a_rep, b_rep) of the forests."""
     for _, rows in _cells(batches, ["rep", "component", "left", "top", "n", "small"]):
@@ -490,6 +497,7 @@ class _Cell:
                     now = self._settled()
 
 
+@gives_back
 def _forest(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Verified links (src, dst) of all cells."""
     for _, rows in _cells(batches, ["rep", "component", "left", "top", "members"]):

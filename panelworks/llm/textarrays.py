@@ -7,12 +7,14 @@ no word or pre-token is ever cut. (Only a run without white space is kept whole
 
 from __future__ import annotations
 
+import ctypes
 import re
 import unicodedata
-from collections.abc import Iterator, Sequence
-from functools import lru_cache
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache, wraps
 
 import numpy as np
+import pyarrow as pa
 
 PIECE_CHARS = 1 << 20
 SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -23,6 +25,20 @@ _CUT = re.compile(r"(?<!\s)[ \t\n\x0b\x0c\r]")
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
+def gives_back(task: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """Return freed memory to the system when a task ends: its Python worker waits for later stages."""
+    @wraps(task)
+    def run(*args, **named) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(*args, **named)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+                trim(0)
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = x.astype(np.uint64, copy=True)
