@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,9 +76,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     single = kept.join(repeated, again, "left_anti")
     rest = [F.col(f"`{f.name}`") for f in docs.schema.fields
             if f.name not in ("doc_id", "text") and not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    own = Window.partitionBy("doc_id", "text").orderBy(*rest or [F.lit(0)])
-    first = kept.join(repeated, again, "left_semi").withColumn("_place", F.row_number().over(own)).filter("_place = 1")
-    return single.unionByName(first.drop("_place")).select(*docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    chosen = F.min_by(whole, F.struct(*rest) if rest else F.lit(0)).alias("_row")  # aggregated before the shuffle
+    first = kept.join(repeated, again, "left_semi").groupBy("doc_id", "text").agg(chosen).select("_row.*")
+    return single.unionByName(first).select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
