@@ -70,3 +70,22 @@ def test_months_equal_plain_products(spark):
     got = {(r["snap_date"], r["src"], r["rank"]): (r["dst"], r["sim"]) for r in load()["similarity_all_months"].run(spark, sf).collect()}
     assert {m for m, _, _ in got} == {m for m in months if sum(x == m for x, _ in rows) > 1}
     assert {x: v for x, v in got.items() if x[0] in some} == want
+
+
+def test_mutual_edges_need_both_sides(spark):
+    from panelworks.operators.graph import graph_counts, mutual_edges, node_degree
+
+    rng = random.Random(3)
+    near = [(i, j, 0.4 + 0.6 * ((i * j) % 7) / 7) for i in range(40) for j in rng.sample([x for x in range(40) if x != i], 5)]
+    odd = [(None, 1, 0.9), (1, None, 0.9), (2, 2, 0.9), (50, 51, None), (51, 50, 0.9)]
+    listed = {(a, b) for a, b, s in near if s > 0.5}
+    want = {(a, b) for a, b in listed if a < b and (b, a) in listed}
+    assert want
+    edges = mutual_edges(spark.createDataFrame(near + odd, "src long, dst long, sim double"), 0.5)
+    assert {(r["src"], r["dst"]) for r in edges.collect()} == want
+    nodes = spark.range(40)
+    degree = {r["id"]: r["degree"] for r in node_degree(nodes, edges, "id").collect()}
+    assert degree == {i: sum(i in e for e in want) for i in range(40)}
+    assert graph_counts(nodes, edges, "id").first()["n_edges"] == len(want)
+    none = spark.createDataFrame([], "src long, dst long, sim double")
+    assert mutual_edges(none, 0.5).collect() == []
