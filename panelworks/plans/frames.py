@@ -131,11 +131,12 @@ def history_at(hist: DataFrame, rows: DataFrame, spec: PanelSpec) -> DataFrame:
 def checkpoint_frame(
     panel: DataFrame, exits: DataFrame, spec: PanelSpec, ranges: Sequence[tuple], default: Column,
     tolerance: int = 31, exit_date: str = "term_date", reason: str = "reason",
-    lookups: Sequence[DataFrame] = (), hist: DataFrame | None = None,
+    lookups: Sequence[DataFrame] = (), hist: DataFrame | None = None, ties: Sequence[Column] = (),
 ) -> DataFrame:
     """One row per entity at its checkpoint, with history up to it and days until exit.
 
-    ``hist`` is the clean panel where the caller has it already.
+    ``hist`` is the clean panel where the caller has it already. Lookups may repeat an entity;
+    ``ties`` orders such rows, of which the first stays.
     """
     hist = clean_panel(panel, spec) if hist is None else hist
     rows = materialize(
@@ -146,5 +147,5 @@ def checkpoint_frame(
     frame = J.span_of_control(frame.join(feats, spec.key, "left"), spec.key, spec.manager)
     for lk in lookups:
         frame = frame.join(lk, spec.key, "left")
-    one = A.latest_per_key(frame, [spec.key], spec.newest_first)
+    one = A.latest_per_key(frame, [spec.key], [*spec.newest_first, *ties])
     return one.withColumn("days_to_exit", F.datediff(exit_date, "checkpoint"))

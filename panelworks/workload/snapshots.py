@@ -229,11 +229,13 @@ _ML_SQL = TB.CHECKPOINT_SQL + f""",
   from im2 i join mh on mh.entity_id = i.entity_id"""
 
 
-@query("ml_frame", _ML_SQL, "panel exits checkpoints scores")
+@query("ml_frame", _ML_SQL, TB.CHECKPOINT_VIEWS)
 def ml_frame(spark, sf):
     clean = frames.clean_panel(V.panel(spark, sf), TB.spec())
     f = materialize(TB.checkpoint_table(spark, sf, clean), "checkpoint")
     hot = H.multi_hot(frames.history_at(clean, f, TB.spec()), "entity_id", {"level": LEVELS, "function": FUNCTIONS})
-    f = SEL.prune_columns(f, ["snap_date", "manager_id", "level", "function"], ["term_date", "term_reason", "checkpoint"])
+    f = SEL.prune_columns(f, [
+        "snap_date", "manager_id", "level", "function", "recent_rating", "distance", "n_name", "cal_v"],
+        ["term_date", "term_reason", "checkpoint"])
     f = FE.impute_two_level(f.join(hot, "entity_id"), "recent_score", "unit", "median")
     return FE.one_hot(f.fillna({"n_reports": 0}), {"unit": UNITS}).withColumn("recent_score", F.round("recent_score", 6))

@@ -239,6 +239,10 @@ _FEATS_SQL = """
 _REASON = "array_to_string(regexp_extract_all(e.reason, '> (.*?) >', 1), '')"
 _REASON_OK = f"(e.reason is null or {_REASON} not in ('Retirement', 'Severance Reasons', 'Death in Service', 'Did Not Start'))"
 
+_CAL_SQL = """
+  cal as (select year(day) as yr, month(day) as mon, cast(sum(cast(v as decimal(28,2))) as double) / count(v) as cal_v
+    from series group by year(day), month(day))"""
+
 ENTITY_SQL = f"""
   with cut as (select * from panel where snap_date <= date '2001-06-30'),
   {_CLEAN_SQL.format(src='cut').strip()},
@@ -254,7 +258,7 @@ ENTITY_SQL = f"""
   sp as (select manager_id, count(entity_id) as n_reports from fk group by manager_id),
   {_SCORES_SQL.strip()},
   {_RATINGS_SQL.strip()},
-  cal as (select year(day) as yr, month(day) as mon, cast(sum(cast(v as decimal(28,2))) as double) / count(v) as cal_v from series group by year(day), month(day)),
+  {_CAL_SQL.strip()},
   wide as (select fk.*, cnt.n_level, cnt.n_function, cnt.n_band, cnt.n_unit, cnt.n_manager, mv.downward_levels,
       mv.upward_levels, sp.n_reports,
       case when year(fk.term_date) = 2000 then sc.combined_2000 else sc.combined_2001 end as recent_score,
@@ -280,21 +284,36 @@ ENTITY_COLUMNS = [
     "n_reports", "recent_score", "recent_rating", "distance", "n_name", "cal_v"]
 
 
-def entity_table(spark, sf, snap_date="2001-06-30"):
-    """The flagship: entity frame with scores, ratings, distances, names and calendar values."""
+def _lookups(spark, sf):
+    """Scores, ratings and distances by entity; ratings and distances may repeat an entity."""
     found = [_scores(spark, sf).select("entity_id", "combined_2000", "combined_2001")]
-    found += [_ratings(spark, sf, y) for y in YEARS] + [V.distances(spark, sf)]
-    frame = frames.entity_frame(
-        V.panel(spark, sf), V.exits(spark, sf), spec(), snap_date, grace_days=365, lookups=found)
+    return found + [_ratings(spark, sf, y) for y in YEARS] + [V.distances(spark, sf)]
+
+
+def _lookup_ties():
+    return [F.desc_nulls_first(c) for c in ("rating_2001", "rating_2000", "distance")]
+
+
+def _with_place_and_calendar(spark, sf, frame):
+    """The manager's nation, and the calendar values of the clamped month of the row."""
     frame = J.left_join_renamed(
         frame, table(spark, sf, "nation").select("n_nationkey", "n_name"), "manager_id", "n_nationkey")
     cal = PS.macro_monthly(V.series(spark, sf), "day", ["v"], digits=2).withColumnRenamed("v_shifted", "cal_v")
-    frame = frames.with_calendar(frame, cal, "snap_date", dt.date(1996, 1, 1))
-    frame = frame.withColumns({
+    return frames.with_calendar(frame, cal, "snap_date", dt.date(1996, 1, 1))
+
+
+def _with_recent(frame):
+    """Score and rating of the year of the exit."""
+    return frame.withColumns({
         "recent_score": lookups.by_exit_year("term_date", YEARS, "combined"),
         "recent_rating": lookups.by_exit_year("term_date", YEARS, "rating")})
-    one = A.latest_per_key(frame, ["entity_id"], [
-        F.desc_nulls_first("rating_2001"), F.desc_nulls_first("rating_2000"), F.desc_nulls_first("distance")])
+
+
+def entity_table(spark, sf, snap_date="2001-06-30"):
+    """The flagship: entity frame with scores, ratings, distances, names and calendar values."""
+    frame = frames.entity_frame(
+        V.panel(spark, sf), V.exits(spark, sf), spec(), snap_date, grace_days=365, lookups=_lookups(spark, sf))
+    one = A.latest_per_key(_with_recent(_with_place_and_calendar(spark, sf, frame)), ["entity_id"], _lookup_ties())
     return one.withColumn("recent_score", F.round("recent_score", 6)).select(*ENTITY_COLUMNS)
 
 
@@ -318,30 +337,43 @@ CHECKPOINT_SQL = f"""
   {_FEATS_SQL.format(h='hcut').strip()},
   sp as (select manager_id, count(entity_id) as n_reports from near group by manager_id),
   {_SCORES_SQL.strip()},
+  {_RATINGS_SQL.strip()},
+  {_CAL_SQL.strip()},
   cw as (select near.entity_id, near.snap_date, near.level, near.function, near.band, near.unit, near.manager_id,
       near.term_date, near.term_reason, near.churn, near.checkpoint, cnt.n_level, cnt.n_function, cnt.n_band,
       cnt.n_unit, cnt.n_manager, mv.downward_levels, mv.upward_levels, sp.n_reports,
       case when year(near.term_date) = 2000 then sc.combined_2000 else sc.combined_2001 end as recent_score,
-      row_number() over (partition by near.entity_id order by near.snap_date desc, near.row_key desc) as rn
+      case when year(near.term_date) = 2000 then ra.rating_2000 else rb.rating_2001 end as recent_rating,
+      d.distance, n.n_name, cal.cal_v,
+      row_number() over (partition by near.entity_id order by near.snap_date desc, near.row_key desc,
+        rb.rating_2001 desc nulls first, ra.rating_2000 desc nulls first, d.distance desc nulls first) as rn
     from near join cnt on cnt.entity_id = near.entity_id join mv on mv.entity_id = near.entity_id
-    left join sp on sp.manager_id = near.manager_id left join sc on sc.entity_id = near.entity_id),
+    left join sp on sp.manager_id = near.manager_id left join sc on sc.entity_id = near.entity_id
+    left join ra on ra.entity_id = near.entity_id left join rb on rb.entity_id = near.entity_id
+    left join distances d on d.entity_id = near.entity_id left join nation n on n.n_nationkey = near.manager_id
+    left join cal on cal.yr = year(greatest(near.snap_date, date '1996-01-01'))
+      and cal.mon = month(greatest(near.snap_date, date '1996-01-01'))),
   cf as (select entity_id, snap_date, level, function, band, unit, manager_id, term_date, term_reason, churn, checkpoint,
       n_level, n_function, n_band, n_unit, n_manager, downward_levels, upward_levels, n_reports,
-      cast(date_diff('day', checkpoint, term_date) as int) as days_to_exit, recent_score
+      cast(date_diff('day', checkpoint, term_date) as int) as days_to_exit, recent_score, recent_rating, distance,
+      n_name, cal_v
     from cw where rn = 1)"""
+CHECKPOINT_VIEWS = "panel exits checkpoints scores ratings_main ratings_wide distances series"
 
 
 def checkpoint_table(spark, sf, hist=None):
+    """Entities at their checkpoints with scores, ratings, distances, names and calendar values."""
     default = F.lit(V.DEFAULT_CHECKPOINT).cast("date")
-    sc = _scores(spark, sf).select("entity_id", "combined_2000", "combined_2001")
-    f = frames.checkpoint_frame(
-        V.panel(spark, sf), V.exits(spark, sf), spec(), V.checkpoint_ranges(), default, lookups=[sc], hist=hist)
-    return f.withColumn("recent_score", lookups.by_exit_year("term_date", YEARS, "combined")).drop(
-        "combined_2000", "combined_2001", "row_key")
+    one = frames.checkpoint_frame(
+        V.panel(spark, sf), V.exits(spark, sf), spec(), V.checkpoint_ranges(), default,
+        lookups=_lookups(spark, sf), hist=hist, ties=_lookup_ties())
+    # one row per entity now, so the small tables are joined to the fewest rows
+    return _with_recent(_with_place_and_calendar(spark, sf, one)).drop(
+        "combined_2000", "combined_2001", "rating_2000", "rating_2001", "row_key")
 
 
 @query("checkpoint_frame", CHECKPOINT_SQL + """
   select * replace (round(recent_score, 6) as recent_score) from cf""",
-       "panel exits checkpoints scores", "snap_date term_date checkpoint")
+       CHECKPOINT_VIEWS, "snap_date term_date checkpoint")
 def checkpoint_frame(spark, sf):
     return checkpoint_table(spark, sf).withColumn("recent_score", F.round("recent_score", 6))
