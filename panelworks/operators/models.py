@@ -7,12 +7,14 @@ from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelworks.functions.scalars import above
 from panelworks.operators.split import with_class_weights
+from panelworks.session import fresh_path
 
 
 def feature_array(columns: Sequence[str]):
@@ -20,7 +22,16 @@ def feature_array(columns: Sequence[str]):
 
 
 def _ready(df: DataFrame, v: str) -> DataFrame:
-    return df.withColumn("features", array_to_vector(v))
+    """``v`` is an array of doubles, or a vector already."""
+    is_vector = isinstance(df.schema[v].dataType, VectorUDT)
+    return df.withColumn("features", F.col(v) if is_vector else array_to_vector(v))
+
+
+def stored(model, spark, label: str = "model"):
+    """The model saved under the shared folder and loaded from it, as a later session would."""
+    path = fresh_path(spark, label)
+    model.write().save(path)
+    return type(model).load(path)
 
 
 def fit_forest(

@@ -8,6 +8,7 @@ from panelworks.functions import scalars as S
 from panelworks.operators import features as FE
 from panelworks.operators import history as H
 from panelworks.operators import select as SEL
+from panelworks.operators import sparse as SX
 from panelworks.operators import text as TX
 from panelworks.operators.topk import sparse_topk
 from panelworks.plans import frames
@@ -239,3 +240,60 @@ def ml_frame(spark, sf):
         ["term_date", "term_reason", "checkpoint"])
     f = FE.impute_two_level(f.join(hot, "entity_id"), "recent_score", "unit", "median")
     return FE.one_hot(f.fillna({"n_reports": 0}), {"unit": UNITS}).withColumn("recent_score", F.round("recent_score", 6))
+
+
+# --- the whole ML frame as sparse features ----------------------------------------------
+
+ML_TEXTS = ["unit", "place", "recent_rating"]
+ML_NUMBERS = ["band", "n_level", "n_function", "n_band", "n_unit", "n_manager", "downward_levels", "upward_levels",
+              "n_reports", "recent_score", "distance", "cal_v"]
+ML_HISTORY = ["level", "function", "band", "unit", "manager_id", "volume"]
+_VOLUME_EDGES = [0, 25000, 75000, 150000, 250000]
+_VOLUME_LABELS = ["small", "medium", "large", "huge"]
+
+ML_FEATURES_SQL = TB.CHECKPOINT_SQL + f""",
+  pn as (select n_name as nm, count(*) as k from cf group by n_name),
+  pl as (select cf.*, case when n_name is null or pn.k <= 10 then 'Other' else n_name end as place
+    from cf left join pn on pn.nm = cf.n_name),
+  {_median_fill('ds', 'distance', 'pl')}, {_median_fill('rs', 'recent_score', 'ds2')},
+  {_MODE_FILL.format(src='rs2').strip()},
+  past as (select *, case when amount < 0 then null when amount <= 25000 then 'small' when amount <= 75000 then 'medium'
+    when amount <= 150000 then 'large' when amount <= 250000 then 'huge' end as volume from hcut),
+  feats as (""" + " union all ".join(
+    [f"select entity_id, '{c}=' || {c} as feature, cast(1 as double) as value from mo2" for c in ML_TEXTS]
+    + [f"select entity_id, '{c}', cast({c} as double) from mo2 where {c} <> 0" for c in ML_NUMBERS]
+    + [f"select distinct entity_id, '{c}:' || cast({c} as varchar), cast(1 as double) from past" for c in ML_HISTORY]
+) + """),
+  codes as (select feature, cast(row_number() over (order by feature) - 1 as int) as code
+    from (select distinct feature from feats where feature is not null) d)"""
+
+
+def ml_entities(spark, sf):
+    """(entities at their checkpoints with all fills, their history up to it).
+
+    Nations seen at most 10 times and unknown ones are ``Other``; distance and score take the median of
+    the unit, the rating its mode, then those of the whole frame; a manager without reports has 0.
+    """
+    clean = frames.clean_panel(V.panel(spark, sf), TB.spec())
+    f = materialize(TB.checkpoint_table(spark, sf, clean), "checkpoint")
+    e = FE.group_rare(f, "n_name", "place", 10).fillna({"place": "Other", "n_reports": 0})
+    e = FE.impute_two_level(e, "distance", "unit", "median")
+    e = FE.impute_two_level(materialize(e, "distance"), "recent_score", "unit", "median")
+    e = FE.impute_two_level(materialize(e, "score"), "recent_rating", "unit", "mode")
+    past = frames.history_at(clean, f, TB.spec()).withColumn(
+        "volume", S.bin_right_closed("amount", _VOLUME_EDGES, _VOLUME_LABELS))
+    return materialize(e, "filled"), past
+
+
+def ml_long(entities, past):
+    """(entity_id, feature, value) of texts, numbers and six histories; exit columns are no features."""
+    rows = SX.row_features(entities, "entity_id", ML_TEXTS, ML_NUMBERS)
+    return materialize(rows.unionByName(SX.history_features(past, "entity_id", ML_HISTORY)), "features")
+
+
+@query("ml_features", ML_FEATURES_SQL + """
+  select f.entity_id, f.feature, c.code, round(f.value, 6) as value from feats f join codes c on c.feature = f.feature""",
+       TB.CHECKPOINT_VIEWS)
+def ml_features(spark, sf):
+    long = ml_long(*ml_entities(spark, sf))
+    return SX.encode(long, SX.feature_dictionary(long)).withColumn("value", F.round("value", 6))
