@@ -77,6 +77,15 @@ def permutation_importance(spark, sf):
     return I.permutation_importance(_forest(df), df, "id", "v", "y", range(WIDTH), 11)
 
 
+@query("row_contributions")
+def row_contributions(spark, sf):
+    """Two pairs of orders, four background rows: what each coordinate adds to the score of every vector."""
+    df = V.vectors(spark, sf)
+    model, orders = _forest(df), I.feature_orders(WIDTH, 2, 21)
+    background = I.background_rows(df, "id", "v", len(orders), 22)
+    return I.row_contributions(model, df, "id", "v", background, orders)
+
+
 @query("partial_dependence")
 def partial_dependence(spark, sf):
     return I.partial_dependence(*_held_out(spark, sf), "id", "v", [0])
