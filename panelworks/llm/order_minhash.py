@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelworks.llm.textarrays import documents_words, mix
+from panelworks.llm.textarrays import HEAD, documents_words, mix
 from panelworks.session import materialize
 
 SLOTS, KMER, TAKEN = 64, 3, 2
@@ -144,11 +144,12 @@ def neighbour_fingerprints(docs: DataFrame) -> DataFrame:
 
     The next document is by rising doc_id (null first; rows of one id in order of text), after the
     last the first. Only doc_id and text are read; a null text counts as empty. One row per input
-    row. Rows are sorted by ranges; only the first and last row of each range meet across ranges.
+    row. Rows are sorted by ranges of doc_id and the head of the text, so a repeated or null id is
+    spread where its texts begin unlike; only the first and last row of each range meet across ranges.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = rows.repartitionByRange(n, "doc_id", F.substring("text", 1, HEAD)).sortWithinPartitions("doc_id", "text")
     made = materialize(dealt.mapInArrow(_along, f"{_SCHEMA}, kind int, part bigint, text string"), "fingerprints")
     heads = made.filter("kind = 2").select("part", F.col("text").alias("following"))
     order = Window.orderBy("part")

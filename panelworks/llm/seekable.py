@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelworks.llm.pretokens import byte_level_encoder
+from panelworks.llm.textarrays import HEAD
 from panelworks.session import materialize
 
 MAGIC = "PWSK"
@@ -71,11 +72,12 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 0,
 
     Documents are in rising order of doc_id (null first; rows of one id in order of text) over the
     files taken by (partition, number). A null text counts as empty: the end id alone. A file holds
-    at most ``file_bytes`` of frames, or one larger document.
+    at most ``file_bytes`` of frames, or one larger document. Ranges are cut by doc_id and the head of
+    the text, so a repeated or null id is spread where its texts begin unlike.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = rows.repartitionByRange(n, "doc_id", F.substring("text", 1, HEAD)).sortWithinPartitions("doc_id", "text")
     images = dealt.mapInArrow(partial(_pack, path=path, end_id=end_id, file_bytes=file_bytes), "image binary")
     images.select(F.col("image").cast("string")).write.option("lineSep", MAGIC).option("maxRecordsPerFile", 1).text(folder)
 

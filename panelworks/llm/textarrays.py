@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 PIECE_CHARS = 1 << 20
+HEAD = 64  # characters of a text in the keys of ranges, whose sample goes to the driver; sorting takes whole texts
 SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: White_Space of the Unicode Character Database.
 WHITE_SPACE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]

@@ -61,3 +61,9 @@ def test_slots_follow_the_definition():
     assert near > 0.9
     alone, among = fingerprints([a])[0], fingerprints([LONG, a, "x", a])
     assert (among[1] == alone).all() and (among[3] == alone).all()  # companions do not matter
+
+
+def test_a_repeated_id_over_several_ranges(spark):
+    rows = [(7, f"{i} of {i % 13} words in row {i * i}") for i in range(600)] + [(None, "a b c")] * 40 + [(9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(map(tuple, neighbour_fingerprints(docs).collect()), key=repr) == expected(rows)

@@ -163,3 +163,13 @@ def test_histogram_query(spark):
     n = [len(library.encode(r[0]).ids) for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
     got = {r["length"]: r["truncated_tokens"] for r in QUERIES["op9_token_counts"](spark, SF).collect()}
     assert got == {k: sum(min(x, k) for x in n) for k in n}
+
+
+def test_a_repeated_id_is_spread_over_files(spark):
+    rows = [(None, f"{i} line {i * i}") for i in range(900)] + [(i, "x y") for i in range(100)]
+    docs, folder = spark.createDataFrame(rows, "doc_id long, text string").repartition(5), fresh_path(spark, "test-files")
+    seekable.write_token_files(docs, folder, BYTE_BPE)
+    found = seekable.read_token_files(spark, folder, with_ids=False)
+    assert found.filter("doc_id is null").select("part").distinct().count() > 1
+    got = sorted(map(tuple, seekable.token_starts(spark, folder).collect()), key=lambda r: r[1])
+    assert got == brute_files(rows)
