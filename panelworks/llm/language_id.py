@@ -26,6 +26,7 @@ from panelworks.session import materialize
 
 TRAIN_DOCS = 1000  # expected number of training documents, drawn by hash, equally many per language
 TRAIN_CHARS = 4_000_000  # and their expected number of characters at most
+SLICE_WORDS = 1 << 13
 BLOCK_CHARS = 1 << 20
 SLICE = 1 << 20  # numbers in a lattice of a task at once
 BITS, LONGEST_GRAM = 18, 4
@@ -53,17 +54,18 @@ class _Words:
         self.hashes, seen, self.kind = distinct(span_hashes(cp, self.start, self.end))
         self.type_start, self.type_end = self.start[seen], self.end[seen]
 
-    def features(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Feature numbers of all distinct words, the word of each, and a weight per word."""
-        size = self.type_end - self.type_start
+    def features(self, part: slice = slice(None)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Feature numbers of the distinct words of ``part``, the word of each, and a weight per word."""
+        begin, hashes = self.type_start[part], self.hashes[part]
+        size = self.type_end[part] - begin
         wide = size + 2  # with a mark before and after
         ends = np.cumsum(wide)
         word = np.repeat(np.arange(len(size)), wide)
         place = np.arange(int(ends[-1]) if len(ends) else 0) - (ends - wide)[word]
-        at = np.clip(self.type_start[word] + place - 1, 0, len(self.cp) - 1)
+        at = np.clip(begin[word] + place - 1, 0, len(self.cp) - 1)
         units = np.where(place == 0, 2, np.where(place == wide[word] - 1, 3, self.cp[at])).astype(np.uint64)
         left = wide[word] - place
-        grams, owners = [self.hashes], [np.arange(len(size))]
+        grams, owners = [hashes], [np.arange(len(size))]
         h = np.zeros(len(units), np.uint64)
         for n in range(1, LONGEST_GRAM + 1):
             shifted = np.concatenate([units[n - 1 :], np.zeros(n - 1, np.uint64)])
@@ -270,12 +272,20 @@ def forward_backward(e: np.ndarray, at: np.ndarray, a: np.ndarray) -> np.ndarray
     return post / post.sum(axis=1, keepdims=True)
 
 
+def _word_scores(words: _Words, model: Model) -> np.ndarray:
+    """Scores of all words; features are made for SLICE_WORDS distinct words at a time, which bounds their memory."""
+    if not len(words.kind):
+        return np.zeros((0, len(model.langs)))
+    slices = [slice(k, k + SLICE_WORDS) for k in range(0, len(words.hashes), SLICE_WORDS)]
+    return np.concatenate([_exp(_type_scores(*words.features(x), model.weights)) for x in slices])[words.kind]
+
+
 def _emissions(texts: Sequence[str], model: Model) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first document, word scores, bounds) by pieces; parts of a long document are put together."""
     parts: list[np.ndarray] = []
     for first, part, whole in pieces(texts):
         words = _Words(part)
-        e = _exp(_type_scores(*words.features(), model.weights))[words.kind] if len(words.kind) else np.zeros((0, len(model.langs)))
+        e = _word_scores(words, model)
         at = words.at
         if not whole:
             parts.append(e)
