@@ -27,6 +27,7 @@ from panelworks.session import materialize
 TRAIN_DOCS = 1000  # expected number of training documents, drawn by hash, equally many per language
 TRAIN_CHARS = 4_000_000  # and their expected number of characters at most
 SLICE_WORDS = 1 << 13
+PREDICT_CHARS = 1 << 18
 BLOCK_CHARS = 1 << 20
 SLICE = 1 << 20  # numbers in a lattice of a task at once
 BITS, LONGEST_GRAM = 18, 4
@@ -283,7 +284,7 @@ def _word_scores(words: _Words, model: Model) -> np.ndarray:
 def _emissions(texts: Sequence[str], model: Model) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first document, word scores, bounds) by pieces; parts of a long document are put together."""
     parts: list[np.ndarray] = []
-    for first, part, whole in pieces(texts):
+    for first, part, whole in pieces(texts, PREDICT_CHARS):
         words = _Words(part)
         e = _word_scores(words, model)
         at = words.at
