@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelworks.llm.pretokens import Encoder, byte_characters, lower_nfc, word_spans
-from panelworks.llm.textarrays import distinct, gather_spans, gives_back, runs, span_hashes, utf8
+from panelworks.llm.textarrays import distinct, gather_spans, gives_back, runs, slices, span_hashes, utf8
 
 END = "</w>"
 _LATE = np.int64(1) << 40
@@ -210,7 +210,7 @@ def word_encoder(path: str) -> Encoder:
 @gives_back
 def _round_trip(batches: Iterator[pa.RecordBatch], path: str, with_texts: bool) -> Iterator[pa.RecordBatch]:
     encoder, text = word_encoder(path), word_bpe(path).text
-    for batch in batches:
+    for batch in slices(batches, "_text"):
         n, ids_hash, decoded_hash, ids_out, texts_out = [], [], [], [], []
         for _, ids in encoder.documents(batch.column("_text").to_pylist()):
             decoded = b" ".join([text[k] for k in ids.tolist()])

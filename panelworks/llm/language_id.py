@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelworks.llm.textarrays import LETTER, classes, code_points, distinct, gives_back, lower_table, mix, pieces, runs, span_hashes
+from panelworks.llm.textarrays import LETTER, classes, code_points, distinct, gives_back, lower_table, mix, pieces, runs, slices, span_hashes
 from panelworks.session import materialize
 
 TRAIN_DOCS = 1000  # expected number of training documents, drawn by hash, equally many per language
@@ -306,7 +306,7 @@ def _spans(label: np.ndarray, langs: list[str]) -> list[dict]:
 @gives_back
 def _predict(batches: Iterator[pa.RecordBatch], shared: Broadcast, with_spans: bool) -> Iterator[pa.RecordBatch]:
     model: Model | None = shared.value
-    for batch in batches:
+    for batch in slices(batches, "_text"):
         texts = [t or "" for t in batch.column("_text").to_pylist()]
         pred, score, count, switches, spans = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), int), np.zeros(len(texts), int), [[]] * len(texts)
         for first, e, at in _emissions(texts, model) if model else ():

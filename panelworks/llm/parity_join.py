@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelworks.llm.components import components
-from panelworks.llm.textarrays import documents_words, gather_spans, gives_back, mix
+from panelworks.llm.textarrays import documents_words, gather_spans, gives_back, mix, slices
 from panelworks.session import materialize
 
 WORDS, PERCENT = 5, 75
@@ -172,7 +172,7 @@ _SET_SCHEMA = "doc_id bigint, n_shingles bigint, ch bigint, cl bigint, sketch bi
 
 @gives_back
 def _describe(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, "text"):
         ids = batch.column("doc_id")
         for first, h, bounds in shingle_sets(batch.column("text").to_pylist(), words):
             high, low = _class_ids(h, bounds)
@@ -201,7 +201,7 @@ def _packed(bucket: np.ndarray, entries: np.ndarray) -> pa.RecordBatch:
 @gives_back
 def _emit(batches: Iterator[pa.RecordBatch], words: int, percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
-    for batch in batches:
+    for batch in slices(batches, "text"):
         for _, h, bounds in shingle_sets(batch.column("text").to_pylist(), words):
             held.append(_entries(h, bounds, percent, buckets))
             if sum(len(b) for b, _ in held) > FLUSH:
@@ -342,7 +342,7 @@ def _best(pairs: DataFrame) -> DataFrame:
 
 @gives_back
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, "text"):
         ids = batch.column("doc_id")
         for first, h, bounds in shingle_sets(batch.column("text").to_pylist(), words):
             high, low = _class_ids(h, bounds)

@@ -14,10 +14,12 @@ from functools import lru_cache
 
 import numpy as np
 
+from panelworks.llm import textarrays
 from panelworks.llm.textarrays import (
-    LETTER, MARKER, NUMBER, OTHER, SPACE, classes, code_points, distinct, gather_spans, pieces, runs, span_hashes, utf8)
+    LETTER, MARKER, NUMBER, OTHER, SPACE, classes, code_points, distinct, gather_spans, runs, span_hashes, utf8)
 
 MAX_TYPES = 1_500_000
+ENCODE_CHARS = 1 << 18
 _END = "\ud800"
 _FIRST_SPECIAL = 0xD801
 #: Endings that follow an apostrophe as tokens of their own (fixed values of both files).
@@ -81,6 +83,11 @@ def lower_nfc(text: str) -> str:
     return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
+def pieces(texts: Sequence[str], size: int = ENCODE_CHARS) -> Iterator[tuple[int, list[str], bool]]:
+    """Smaller than elsewhere: the arrays over a piece are many times its size."""
+    return textarrays.pieces(texts, size)
+
+
 class _Cache:
     """Hash to id span, as sorted arrays; new entries are merged into the large part now and then."""
 

@@ -15,8 +15,10 @@ from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 PIECE_CHARS = 1 << 20
+SLICE_BYTES = 1 << 20
 HEAD = 64  # characters of a text in the keys of ranges, whose sample goes to the driver; sorting takes whole texts
 SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: White_Space of the Unicode Character Database.
@@ -40,6 +42,18 @@ def gives_back(task: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., I
     return run
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, in order, in slices of about ``size`` bytes of ``text``; a longer text is whole.
+
+    Spark fills a batch by its number of rows; the strings made of a whole one are several times its size.
+    """
+    for batch in batches:
+        part = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // size
+        cut = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        for i, j in zip(cut, cut[1:]):
+            yield batch.slice(i, j - i)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = x.astype(np.uint64, copy=True)

@@ -43,6 +43,45 @@ def test_pieces_do_not_change_ids(monkeypatch):
     assert [ids.tolist() for _, ids in byte_level_encoder(BYTE_BPE).documents(texts)] == want
 
 
+def test_slices_keep_rows_and_long_texts():
+    import pyarrow as pa
+
+    from panelworks.llm.textarrays import slices
+
+    texts = ["a" * 40, None, "", "b" * 250, "c" * 99, "é" * 30, "d"]
+    batches = [pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "t": pa.array(texts, pa.string())}), pa.RecordBatch.from_pydict(
+        {"id": pa.array([], pa.int64()), "t": pa.array([], pa.string())})]
+    got = list(slices(iter(batches), "t", 100))
+    assert [r for b in got for r in b.to_pylist()] == [r for b in batches for r in b.to_pylist()]
+    assert max(sum(len((t or "").encode()) for t in b.column("t").to_pylist()[1:]) for b in got) <= 100
+    assert sum(map(len, (b.column("t") for b in got[:-1]))) == len(texts) and len(got) > 3
+
+
+def test_a_large_batch_is_encoded_in_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from panelworks.llm import bpe
+
+    draw, word = random.Random(3), "the quick brown fox jumps over lazy dogs it's 12 été".split()
+    texts = [" ".join(draw.choices(word, k=400)) for _ in range(6000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "_text": texts})
+    encoder = word_encoder(WORD_BPE)
+    want = [len(ids) for _, ids in encoder.documents(texts[:300])]
+    tracemalloc.start()
+    try:
+        tracemalloc.reset_peak()
+        before, got = tracemalloc.get_traced_memory()[0], []
+        for made in bpe._round_trip(iter([batch]), path=WORD_BPE, with_texts=False):
+            got += zip(made.column("doc_id").to_pylist(), made.column("n_tokens").to_pylist())
+        peak = tracemalloc.get_traced_memory()[1] - before
+    finally:
+        tracemalloc.stop()
+    assert [i for i, _ in got] == list(range(len(texts))) and [n for _, n in got[:300]] == want
+    assert peak < 40e6, peak
+
+
 def test_pairs_and_merging():
     bpe, draw = word_bpe(WORD_BPE), random.Random(2)
     tokens = [i for i in np.flatnonzero(bpe.rank >= 0).tolist()]
