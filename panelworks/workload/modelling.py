@@ -16,7 +16,7 @@ from panelworks.workload.graphs import NODE_FEATURES, node_table
 from panelworks.workload.registry import query
 from panelworks.workload.snapshots import ML_FEATURES_SQL, ml_entities, ml_long
 from panelworks.workload.tables import CHECKPOINT_VIEWS, checkpoint_table
-from panelworks.workload.vectors import grouped_edges
+from panelworks.workload.vectors import vector_samples
 
 WIDTH = 64
 
@@ -57,8 +57,7 @@ def days_to_exit_regression(spark, sf):
 @query("node_classifier")
 def node_classifier(spark, sf):
     nodes = node_table(spark, sf)
-    edges, members = grouped_edges(spark, sf)
-    m = G.neighbour_means(nodes, edges, "id", NODE_FEATURES, members=members)
+    m = G.sampled_means(nodes, *vector_samples(spark, sf), "id", NODE_FEATURES)
     cols = [c for c in m.columns if c != "id"]
     full = materialize(m.join(nodes.select("id", "y"), "id").withColumn("v", M.feature_array(cols)), "nodes")
     train = SP.split_random(full.select("id", "y", "v"), "id", 9002).filter("split = 'train'")
